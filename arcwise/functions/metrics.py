@@ -25,7 +25,7 @@ def beckmann(state: DataFrame, link_class: DataFrame) -> DataFrame:
 
 def class_totals(state: DataFrame, link_class: DataFrame) -> DataFrame:
     """Time, distance, toll and generalized cost of each class, with the grand total (class_id null)."""
-    x = link_class.join(state.select("arc_id", "time_cost", "length", "toll"), "arc_id")
+    x = link_class.drop("toll").join(state.select("arc_id", "time_cost", "length", "toll"), "arc_id")
     f = F.col("flow")
     return x.rollup("class_id").agg(
         F.sum(f * F.col("time_cost")).alias("time"),

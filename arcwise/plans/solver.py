@@ -250,7 +250,7 @@ def bush_equilibrium(net: Network, demand: DataFrame, cfg: SolverConfig, start:
 
         return b.shift(cost_of, lambda x, arcs=slice(None): perf(x, arcs)[1], total, cfg.min_derivative, cfg.min_flow, cfg.newton_step)
 
-    got = demand.groupBy(F.lit(0)).applyInPandas(solve, BUSH_ARCS).toPandas()
+    got = demand.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(solve, BUSH_ARCS).toPandas()
     notes = got[got.class_id < 0].pivot(index="topo_pos", columns="origin", values="approach_flow")
     bush = got[got.class_id >= 0]
     flow = np.zeros_like(fixed)
@@ -287,11 +287,11 @@ def bush_distributed(net: Network, demand: DataFrame, cfg: SolverConfig) -> Resu
             break
         total = flow.sum(0)
 
-        def step(key, pdf, total=total):
+        def step(key, pdf):
             c, o = (int(v) for v in key)
             x = np.zeros(n)
             x[pdf.arc_id] = pdf.x
-            b, own = K.Bush(g, o, pdf.arc_id.to_numpy(), x.copy()), total.copy()
+            b, own = K.Bush(g, o, pdf.arc_id.to_numpy(), x.copy()), total.copy()  # noqa: B023  pickled before total changes
             b.grow(perf(own)[0] + fixed[c], cfg.min_flow)
             for _ in range(cfg.inner_passes):
                 if b.shift(lambda v, a=slice(None): perf(v, a)[0] + fixed[c][a], lambda v, a=slice(None): perf(v, a)[1], own, cfg.min_derivative, cfg.min_flow, cfg.newton_step) < 1e-9:

@@ -32,8 +32,9 @@ def report(links: DataFrame, link_class: DataFrame, state: DataFrame, classes: l
     names = [F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).alias(f"class{c + 1}") for c in classes]
     return (
         links.where(~F.col("artificial"))
+        .select("arc_id", "tail", "head")
         .join(wide, "arc_id", "left")
-        .join(state, "arc_id")
+        .join(state.select("arc_id", "flow", "time_cost"), "arc_id")
         .select("arc_id", "tail", "head", F.col("flow").alias("total_flow"), F.col("time_cost").alias("travel_time"), *names)
     )
 
