@@ -11,8 +11,8 @@ import hashlib
 
 from pyspark.sql import DataFrame
 
-from arcwise.llm.common import doc_id, drop, keep
-from arcwise.llm.windows import SAME, Units, classified, covered, repeated_windows, with_spans
+from arcwise.llm.common import doc_id
+from arcwise.llm.windows import Units, classified, covered, repeated_windows, with_spans
 
 WINDOW = 35
 K = 16
@@ -21,11 +21,8 @@ K = 16
 def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """(did, rid, start, n): runs of n windows from word `start` that occur more than once in all documents."""
     u = Units(True, window, min(k, window))
-    marked = classified(u, docs)
-    single = repeated_windows(u, docs, marked.where(f"kind <> {SAME}"))
-    same = keep(marked.where(f"kind = {SAME}").select("did", "rid", "start", "n"), "same")
-    drop(marked)
-    return same.unionByName(single)
+    found = classified(u, docs)
+    return found.same.unionByName(repeated_windows(u, docs, found.open))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:

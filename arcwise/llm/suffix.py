@@ -1,7 +1,7 @@
 """Suffix-array dedup over bytes: two-stage sorting, then common prefixes of neighbours.
 
-Where whole paths (windows.py) are equal their bytes repeat outright. Where paths under one key differ, their bytes go
-to one task - at most FEW_BYTES for a key - which sorts all suffixes: those smaller than their successors directly, the
+Where whole paths (windows.py) are equal their bytes repeat outright. Where paths under one key differ, each different
+one's bytes go to one task - at most FEW_BYTES for a key - which sorts all suffixes: those smaller than their successors directly, the
 rest by scanning the buckets, and reads repeats off the common prefixes of neighbours. Keys with more bytes than that
 are counted window by window instead, exactly, so no task holds an unbounded group."""
 
@@ -13,8 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcwise.llm.common import chunks, doc_id, drop, keep
-from arcwise.llm.windows import FEW, MANY, SAME, Units, classified, covered, repeated_windows, unpack, with_spans
+from arcwise.llm.common import chunks, doc_id, keep, keyed
+from arcwise.llm.windows import Units, classified, covered, repeated_windows, with_spans
 
 WINDOW = 400
 K = 48
@@ -115,8 +115,6 @@ def repeats(slices: list[bytes], size: int = WINDOW) -> list[np.ndarray]:
 def slices_of(docs: DataFrame, spans: DataFrame, size: int) -> DataFrame:
     """(key, did, rid, start, piece): the bytes under each span."""
     by = spans.groupBy("did", "rid").agg(F.collect_list(F.struct("key", "start", "n")).alias("spans"))
-    from arcwise.llm.common import keyed
-
     def run(batches):
         import pyarrow as pa
 
@@ -137,7 +135,7 @@ def slices_of(docs: DataFrame, spans: DataFrame, size: int) -> DataFrame:
 
 
 def sorted_repeats(pieces: DataFrame, size: int, batch: int = BATCH_BYTES) -> DataFrame:
-    """(did, rid, start, n = 1) of the windows that repeat among the pieces of one key. A task takes its keys in order,
+    """(did, rid, start, n): runs of windows that repeat among the pieces of one key. A task takes its keys in order,
     sorting whole keys together up to `batch` bytes at a time."""
 
     def run(batches):
@@ -146,10 +144,13 @@ def sorted_repeats(pieces: DataFrame, size: int, batch: int = BATCH_BYTES) -> Da
         held, volume, last = [], 0, None
 
         def flush():
-            found = repeats([h[3] for h in held], size)
-            n = [len(f) for f in found]
-            cols = [np.repeat([h[0] for h in held], n), np.repeat([h[1] for h in held], n), np.concatenate([f + h[2] for f, h in zip(found, held, strict=True)]).astype(np.int32), np.ones(sum(n), np.int32)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["did", "rid", "start", "n"])
+            cols = [[], [], [], []]
+            for (did, rid, start, _), f in zip(held, repeats([h[3] for h in held], size), strict=True):
+                for run_ in np.split(f, np.flatnonzero(np.diff(f) != 1) + 1):
+                    if len(run_):
+                        for c, v in zip(cols, (did, rid, start + int(run_[0]), len(run_)), strict=True):
+                            c.append(v)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["did", "rid", "start", "n"])
 
         for b in batches:
             for key, did, rid, start, piece in zip(*(b.column(c).to_pylist() for c in ("key", "did", "rid", "start", "piece")), strict=True):
@@ -167,12 +168,10 @@ def sorted_repeats(pieces: DataFrame, size: int, batch: int = BATCH_BYTES) -> Da
 def repeated_bytes(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """(did, rid, start, n): runs of n windows from byte `start` that occur more than once in all documents."""
     u = Units(False, window, min(k, window))
-    marked = classified(u, docs, FEW_BYTES)
-    few = keep(sorted_repeats(slices_of(docs, marked.where(f"kind = {FEW}"), window), window), "sorted")
-    many = repeated_windows(u, docs, marked.where(f"kind = {MANY}"))
-    same = keep(marked.where(f"kind = {SAME}").select("did", "rid", "start", "n"), "same")
-    drop(marked)
-    return same.unionByName(few).unionByName(many)
+    found = classified(u, docs)
+    few = keep(sorted_repeats(slices_of(docs, found.open.where(F.col("units") <= FEW_BYTES), window), window), "sorted")
+    many = repeated_windows(u, docs, found.open.where(F.col("units") > FEW_BYTES))
+    return found.same.unionByName(few).unionByName(many)
 
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
@@ -202,6 +201,3 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame
     schema = "did long, rid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     out = with_spans(docs, repeated_bytes(docs, window, k)).mapInArrow(run, schema)
     return out.select("did", "rid", doc_id(), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
-
-
-__all__ = ["suffix_array", "suffix_dedup", "repeats", "unpack"]

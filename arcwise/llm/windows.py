@@ -95,20 +95,36 @@ def path_rows(u: Units, docs: DataFrame) -> DataFrame:
     return keyed(docs).mapInArrow(run, "did long, rid long, key long, digest long, start int, n int, loops boolean")
 
 
-SAME, FEW, MANY = 1, 2, 3
+SAME, OPEN = 1, 2
 
 
-def classified(u: Units, docs: DataFrame, few_units: int = 0) -> DataFrame:
-    """Occurrences of the paths whose key occurs more than once or that loop: (did, rid, key, start, n, kind). kind SAME:
-    there are more and all are equal; FEW: others that hold up to few_units units together; MANY: those that hold more."""
+@dataclass(frozen=True)
+class Repeats:
+    """same: (did, rid, start, n) runs of windows that all repeat. open: one (did, rid, key, start, n, units) for each
+    different path that shares its key with others or loops; units: what the different paths of the key hold together."""
+
+    same: DataFrame
+    open: DataFrame
+
+
+def classified(u: Units, docs: DataFrame) -> Repeats:
     occ = keep(path_rows(u, docs), "paths")
-    total = F.sum(F.col("n") + (u.size - 1))
-    by = occ.groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.count("*").alias("c"), total.alias("units"), F.max("loops").alias("loops")).where("c > 1 or loops")
-    kind = F.when((F.col("lo") == F.col("hi")) & (F.col("c") > 1), SAME).when(F.col("units") <= few_units, FEW).otherwise(MANY)
+    by = occ.groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.count("*").alias("c"), F.max("loops").alias("loops")).where("c > 1 or loops")
+    kind = F.when((F.col("lo") == F.col("hi")) & (F.col("c") > 1), SAME).otherwise(OPEN)
     kinds = keep(by.select("key", kind.cast("byte").alias("kind")), "kinds")
-    out = keep(occ.drop("digest", "loops").join(kinds, "key"), "marked")
+    marked = keep(occ.drop("loops").join(kinds, "key"), "marked")
     drop(occ, kinds)
-    return out
+    # equal paths under an open key repeat whole; one of them stands for all against the others
+    mixed = marked.where(f"kind = {OPEN}")
+    first = [F.first(c).alias(c) for c in ("did", "rid", "start", "n")]
+    contents = keep(mixed.groupBy("key", "digest").agg(F.count("*").alias("c"), *first), "contents")
+    volume = keep(contents.groupBy("key").agg(F.sum(F.col("n") + (u.size - 1)).alias("units")), "volume")
+    cols = ["did", "rid", "start", "n"]
+    same = mixed.join(contents.where("c > 1").select("key", "digest"), ["key", "digest"]).select(*cols)
+    same = keep(marked.where(f"kind = {SAME}").select(*cols).unionByName(same), "same")
+    open_ = keep(contents.join(volume, "key").select("key", *cols, "units"), "open")
+    drop(marked, contents, volume)
+    return Repeats(same, open_)
 
 
 def per_document(spans: DataFrame) -> DataFrame:
