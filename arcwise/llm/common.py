@@ -109,9 +109,9 @@ class Prefix:
         return mix((s[length:] - s[:-length]) * self.inv[: len(s) - length])
 
 
-def words_of(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words_of(buf: np.ndarray, starts: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of concatenated texts, and the word count before each text's start and at the end."""
-    gap = SPACE[buf]
+    gap = gaps[buf]
     edge = np.ones(len(buf) + 1, bool)
     edge[1:-1] = gap[:-1]
     inner = starts[(starts < len(buf))]

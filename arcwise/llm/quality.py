@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from arcwise.llm.common import TABLES, U, chunks, doc_id, keep, keyed, mix, word_hashes, words_of
 
 #: Documents whose posteriors train the scorer: a bound on what reaches the driver, not on what is scored.
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 4000
 BUCKETS = 1 << 12
 LABELLERS = ("repeats", "capitals", "symbols", "fragments", "variety", "prose")
 
@@ -116,17 +116,21 @@ def expectation_maximisation(v: np.ndarray, counts: np.ndarray, rounds: int = 60
     return model
 
 
-def train(x: np.ndarray, y: np.ndarray, rounds: int = 400) -> tuple[np.ndarray, float]:
+def train(x: np.ndarray, y: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by accelerated gradient steps, with a small ridge. Each class weighs its
     posterior mass as it comes, so clean documents are not given up for rare junk."""
-    w, b, vw, vb = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), 0.0
-    rate = 4.0 / max(1e-9, (x**2).sum(1).mean() + 1)
+    used = np.flatnonzero(x.any(0))
+    x, y = x[:, used], y.astype(np.float32)
+    w, b, vw, vb = np.zeros(len(used), np.float32), 0.0, np.zeros(len(used), np.float32), 0.0
+    rate = np.float32(4.0 / max(1e-9, float((x**2).sum(1).mean()) + 1))
     for _ in range(rounds):
-        g = 1 / (1 + np.exp(-np.clip(x @ (w + 0.9 * vw) + b + 0.9 * vb, -30, 30))) - y
-        vw = 0.9 * vw - rate * (x.T @ g / len(y) + 1e-5 * w)
-        vb = 0.9 * vb - rate * g.mean()
+        g = 1 / (1 + np.exp(-np.clip(x @ (w + np.float32(0.9) * vw) + np.float32(b + 0.9 * vb), -30, 30))) - y
+        vw = np.float32(0.9) * vw - rate * (g @ x / np.float32(len(y)) + np.float32(1e-5) * w)
+        vb = 0.9 * vb - float(rate) * float(g.mean())
         w, b = w + vw, b + vb
-    return w, float(b)
+    out = np.zeros(BUCKETS)
+    out[used] = w
+    return out, float(b)
 
 
 def labelled(docs: DataFrame) -> DataFrame:
