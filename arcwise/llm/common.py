@@ -57,6 +57,36 @@ def doc_id(col: str = "did"):
     return F.when(F.col(col) != NO_ID, F.col(col)).alias("doc_id")
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Column names that the table doesn't have, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name = "_" + name
+        out.append(name)
+        taken.add(name)
+    return out
+
+
+def columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def with_keys(docs: DataFrame, did: str, rid: str) -> DataFrame:
+    """The table with its row keys, as keyed() makes them, under the given names."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.withColumns({did: F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long"), rid: F.xxhash64("doc_id", text)})
+
+
+def restrict(docs: DataFrame, keys: DataFrame, how: str = "left_semi", once: bool = False) -> DataFrame:
+    """The rows whose keys are among (did, rid) of `keys` - or aren't, for left_anti -, with all their columns. once:
+    rows that repeat id and text give one."""
+    did, rid = fresh(docs, "did", "rid")
+    out = with_keys(docs, did, rid).join(keys.select(F.col("did").alias(did), F.col("rid").alias(rid)), [did, rid], how)
+    return (out.dropDuplicates([did, rid]) if once else out).select(*columns(docs))
+
+
 # ---- hashing ----------------------------------------------------------------------------------------------------
 
 U = np.uint64

@@ -13,9 +13,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from arcwise.llm.common import Prefix, U, chunks, doc_id, keep, keyed, mix, word_hashes, words_of
+from arcwise.llm.common import Prefix, U, chunks, doc_id, keep, keyed, mix, restrict, word_hashes, words_of
 
 SIMILARITY = 0.8
 BLOCK = 2000
@@ -245,7 +244,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
 
 def decontaminate_stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns and repeats."""
-    bad = keep(leaks(docs, benchmark).select(F.col("did").alias("__id"), F.col("rid").alias("__rid")).distinct(), "leaks")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    x = docs.withColumns({"__id": F.coalesce(F.col("doc_id"), F.lit(-(2**63))), "__rid": F.xxhash64("doc_id", text)})
-    return x.join(bad, ["__id", "__rid"], "left_anti").select(*docs.columns)
+    return restrict(docs, keep(leaks(docs, benchmark).select("did", "rid").distinct(), "leaks"), "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcwise.llm.common import doc_id, keep, keyed
+from arcwise.llm.common import doc_id, keep, keyed, restrict
 
 #: The characters that normalisation deletes.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -13,9 +13,23 @@ TWO64 = 2**64
 
 
 def normalised(docs: DataFrame) -> DataFrame:
-    """(did, norm, h, sha, n): text without blanks, its MD5 and SHA-256, code points of the original."""
-    k = keyed(docs).select("did", "text", F.translate("text", BLANKS, "").alias("norm"))
-    return k.select("did", "norm", F.unhex(F.md5(F.encode("norm", "UTF-8"))).alias("h"), F.unhex(F.sha2(F.encode("norm", "UTF-8"), 256)).alias("sha"), F.char_length("text").alias("n"))
+    """(did, rid, norm, h, sha, n): text without blanks, its MD5 and SHA-256, code points of the original."""
+    k = keyed(docs).select("did", "rid", "text", F.translate("text", BLANKS, "").alias("norm"))
+    return k.select("did", "rid", "norm", F.unhex(F.md5(F.encode("norm", "UTF-8"))).alias("h"), F.unhex(F.sha2(F.encode("norm", "UTF-8"), 256)).alias("sha"), F.char_length("text").alias("n"))
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """(did, rid, keep, kept, group_size, sha) of every row; see exact_dedup."""
+    base = normalised(docs)
+    low = lambda c: F.lit(2**63 - 1).cast("decimal(20,0)") - F.col(c).cast("decimal(20,0)")
+    two64 = F.lit(str(TWO64)).cast("decimal(20,0)")
+    code = (F.col("n").cast("decimal(20,0)") * two64 + low("did")).cast("decimal(38,0)")
+    groups = base.groupBy("h", "sha", "norm").agg(F.max(code).alias("code"), F.count("*").alias("group_size")).drop("norm")
+    one = F.when(F.count("*") > 1, F.raise_error(F.lit("two texts share MD5 and SHA-256")).cast("decimal(38,0)")).otherwise(F.max("code"))
+    groups = keep(groups.groupBy("h", "sha").agg(one.alias("best"), F.sum("group_size").alias("group_size")), "groups")
+    keeper = (F.lit(2**63 - 1).cast("decimal(20,0)") - F.pmod(F.col("best"), F.lit(str(TWO64)).cast("decimal(38,0)"))).cast("long")
+    rows = base.select("did", "rid", "h", "sha", code.alias("code")).join(groups, ["h", "sha"])
+    return rows.select("did", "rid", keeper.alias("keep"), (F.col("code") == F.col("best")).alias("kept"), F.col("group_size").cast("long").alias("group_size"), "sha")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -23,38 +37,19 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
     Texts are equal if they have the same characters besides blanks; of equal ones the longest original stays, then
     the smallest doc_id. Null texts count as empty, empty texts are equal to each other, a null doc_id sorts first.
-    Rows that repeat both id and text are counted and returned each; extra columns are ignored.
+    Rows that repeat a doc_id and tie are counted and returned each, all kept or all not (the stage keeps one row);
+    extra columns are ignored; an empty table gives an empty result.
 
     Grouping by (hash, bytes) compares bytes, and combines on the map side, so a hot group sends one row a task. Two
     different texts under one MD5 stay apart; should they also share SHA-256, the run stops instead of merging them.
     The keeper is packed in one decimal - length, then complement of the id - so the aggregation stays hash-based."""
-    base = normalised(docs)
-    code = F.col("n").cast("decimal(20,0)") * F.lit(str(TWO64)).cast("decimal(20,0)")
-    code = (code + (F.lit(2**63 - 1).cast("decimal(20,0)") - F.col("did").cast("decimal(20,0)"))).cast("decimal(38,0)")
-    groups = base.groupBy("h", "sha", "norm").agg(F.max(code).alias("code"), F.count("*").alias("group_size")).drop("norm")
-    one = F.when(F.count("*") > 1, F.raise_error(F.lit("two texts share MD5 and SHA-256")).cast("decimal(38,0)")).otherwise(F.max("code"))
-    groups = groups.groupBy("h", "sha").agg(one.alias("code"), F.sum("group_size").alias("group_size"))
-    keeper = F.lit(2**63 - 1).cast("decimal(20,0)") - F.pmod(F.col("code"), F.lit(str(TWO64)).cast("decimal(38,0)"))
-    groups = keep(groups.select("h", "sha", keeper.cast("long").alias("keep"), "group_size"), "groups")
-    rows = base.select("did", "h", "sha").join(groups, ["h", "sha"])
-    return rows.select(
-        doc_id(),
-        doc_id("keep").alias("keep_id"),
-        F.col("group_size").cast("long").alias("group_size"),
-        (F.col("did") == F.col("keep")).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
-    )
+    return grouped(docs).select(doc_id(), doc_id("keep").alias("keep_id"), "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def exact_dedup_stage(docs: DataFrame) -> DataFrame:
-    """The kept documents, one row each, with all their columns."""
-    groups = exact_dedup(docs).where("kept").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__id"), F.col("text_sha256").alias("__sha"))
-    kept = keep(groups.distinct(), "kept")
-    text = F.translate(F.coalesce("text", F.lit("")), BLANKS, "")
-    x = docs.withColumns({"__id": F.coalesce(F.col("doc_id"), F.lit(-(2**63))), "__sha": F.sha2(F.encode(text, "UTF-8"), 256)})
-    x = x.withColumn("__len", F.char_length(F.coalesce("text", F.lit(""))))
-    one = x.join(kept, ["__id", "__sha"], "left_semi")
-    return one.dropDuplicates(["__id", "__sha"]).select(*docs.columns)
+    """One row of each group with all its columns: the kept one; of kept rows that tie, that with the smallest key."""
+    first = grouped(docs).where("kept").groupBy("sha").agg(F.min(F.struct("did", "rid")).alias("k"))
+    return restrict(docs, keep(first.select("k.did", "k.rid"), "kept"), once=True)
 
 
 ORACLE = r"""WITH t AS (SELECT doc_id, coalesce(text,'') t, regexp_replace(coalesce(text,''), '[\x20\x09-\x0D]', '', 'g') norm FROM documents)

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcwise.llm.common import TABLES, U, chunks, doc_id, keep, keyed, mix, word_hashes, words_of
+from arcwise.llm.common import TABLES, U, chunks, doc_id, keep, keyed, mix, restrict, word_hashes, words_of
 
 #: Documents whose posteriors train the scorer: a bound on what reaches the driver, not on what is scored.
 TRAIN_ROWS = 4000
@@ -210,7 +210,4 @@ def quality_scores(docs: DataFrame, threshold: float = 0.5, train_rows: int = TR
 
 def quality_stage(docs: DataFrame) -> DataFrame:
     """The documents that the classifier keeps, with all their columns and repeats."""
-    kept = keep(quality_scores(docs).where("keep").select(F.col("did").alias("__id"), F.col("rid").alias("__rid")).distinct(), "kept")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    x = docs.withColumns({"__id": F.coalesce(F.col("doc_id"), F.lit(-(2**63))), "__rid": F.xxhash64("doc_id", text)})
-    return x.join(kept, ["__id", "__rid"], "left_semi").select(*docs.columns)
+    return restrict(docs, keep(quality_scores(docs).where("keep").select("did", "rid").distinct(), "kept"))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcwise.llm.common import components, doc_id, drop, keep, keyed
+from arcwise.llm.common import components, doc_id, drop, keep, keyed, restrict
 
 RADIUS = 4
 SHINGLE = 4
@@ -107,7 +107,8 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """One row per document: did, rid, doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
+    """One row per document: did, rid, doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable),
+    root (the component's smallest fingerprint as a signed long, which names it even where ids repeat or are null).
 
     Null and blank texts have fingerprint 0 and link like others; repeated rows are returned each; extra columns are
     ignored. Equal fingerprints are one node, so copies cost nothing in the comparison."""
@@ -116,12 +117,11 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) ->
     ids = keep(fps.groupBy("fp").agg(F.min("did").alias("low")), "ids")
     named = ids.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
     low = keep(named.groupBy("root").agg(F.min("low").alias("component")), "roots")
-    classes = keep(named.join(low, "root").select("fp", "component"), "classes")
-    return fps.join(classes, "fp").select("did", "rid", doc_id(), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), doc_id("component").alias("component_id"))
+    classes = keep(named.join(low, "root").select("fp", "root", "component"), "classes")
+    return fps.join(classes, "fp").select("did", "rid", doc_id(), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), doc_id("component").alias("component_id"), "root")
 
 
 def near_dedup_stage(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each component, that with the smallest id, with all its columns."""
-    kept = keep(near_dedup(docs, radius).where("doc_id <=> component_id").select(F.col("did").alias("__id")).distinct(), "kept")
-    x = docs.withColumn("__id", F.coalesce(F.col("doc_id"), F.lit(-(2**63))))
-    return x.join(kept, "__id", "left_semi").dropDuplicates(["__id"]).select(*docs.columns)
+    """One row of each component, that with the smallest doc_id (then row key), with all its columns."""
+    first = near_dedup(docs, radius).groupBy("root").agg(F.min(F.struct("did", "rid")).alias("k"))
+    return restrict(docs, keep(first.select("k.did", "k.rid"), "kept"), once=True)
