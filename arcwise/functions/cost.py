@@ -101,7 +101,7 @@ def np_cost(x, c, t0, a, b):
     x, c, t0, a, b = (np.asarray(v, float) for v in (x, c, t0, a, b))
     y = np.maximum(x, 0) / c
     lin = b == 1
-    time = np.where(lin, t0 * (1 + a * x / c), t0 * (1 + a * y**b))
+    time = np.where(lin, t0 * (1 + a * x / c), np.where(x > 0, t0 * (1 + a * y**b), t0))
     with np.errstate(divide="ignore", invalid="ignore"):
         der = np.where(lin, t0 * a / c, np.where(x > 0, t0 * a * b / c * y ** (b - 1), 0.0))
     area = np.where(lin, x * t0 * (1 + a * x / c / 2), x * t0 * (1 + a / (b + 1) * y**b))

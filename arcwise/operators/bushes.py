@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from arcwise.operators import kernels as K
 from arcwise.schema import BUSH_ARCS, PATHS
 
-HEAD = Window.partitionBy("class_id", "origin", "head")
+
+def by_head():
+    return Window.partitionBy("class_id", "origin", "head")
 
 
 def tree_bushes(demand: DataFrame, g: K.Graph, cost: dict[int, np.ndarray]) -> DataFrame:
@@ -28,7 +30,7 @@ def tree_bushes(demand: DataFrame, g: K.Graph, cost: dict[int, np.ndarray]) -> D
 
 
 def node_flow(bush: DataFrame) -> DataFrame:
-    return bush.withColumn("node_flow", F.sum("approach_flow").over(HEAD))
+    return bush.withColumn("node_flow", F.sum("approach_flow").over(by_head()))
 
 
 def merge_nodes(bush: DataFrame) -> DataFrame:
@@ -42,7 +44,7 @@ def merge_nodes(bush: DataFrame) -> DataFrame:
 
 def merge_share(bush: DataFrame) -> DataFrame:
     """Share of each approach in its node's flow; a node without flow puts everything on its first arc."""
-    first = F.min("arc_id").over(HEAD)
+    first = F.min("arc_id").over(by_head())
     return node_flow(bush).withColumn("share", F.when(F.col("node_flow") > 0, F.col("approach_flow") / F.col("node_flow")).otherwise((F.col("arc_id") == first).cast("double")))
 
 
