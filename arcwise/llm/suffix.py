@@ -77,11 +77,12 @@ def suffix_array(data: bytes, depth: int | None = None) -> np.ndarray:
 def common_prefix(data: bytes, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
     """Length of the common prefix of the suffixes at a and b, up to `limit`; eight bytes at a time, then singly."""
     buf = np.frombuffer(data + b"\0" * (limit + 16), np.uint8)
-    words = np.lib.stride_tricks.sliding_window_view(buf, 8)
+    words = np.lib.stride_tricks.as_strided(buf[:8].view(np.uint64), (len(buf) - 8,), (1,))  # eight bytes from each place
     out = np.zeros(len(a), np.int64)
-    live = np.arange(len(a))
+    live, x, y = np.arange(len(a)), a, b
     for _ in range(limit // 8):
-        live = live[(words[a[live] + out[live]] == words[b[live] + out[live]]).all(1)] if len(live) else live
+        same = words[x] == words[y]
+        live, x, y = live[same], x[same] + 8, y[same] + 8
         out[live] += 8
     # those that left early, and the rest below eight bytes
     todo = np.arange(len(a))
