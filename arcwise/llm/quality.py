@@ -18,7 +18,7 @@ from arcwise.llm.common import TABLES, U, chunks, doc_id, keep, keyed, mix, rest
 #: Documents whose posteriors train the scorer: a bound on what reaches the driver, not on what is scored.
 TRAIN_ROWS = 4000
 BUCKETS = 1 << 12
-LABELLERS = ("repeats", "capitals", "symbols", "fragments", "variety", "prose")
+LABELLERS = ("repeats", "capitals", "symbols", "fragments", "variety", "prose", "echo")
 
 UPPER = np.zeros(256, bool)
 UPPER[ord("A") : ord("Z") + 1] = True
@@ -33,7 +33,8 @@ STOP[[ord("."), ord("?"), ord("!")]] = True
 
 def statistics(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list]:
     """Per text: words, share of words like the one before, of distinct words, upper-case letters, symbols among the
-    bytes, words that end in a symbol or stand alone as one, sentence ends a word. And the words' features."""
+    bytes, words that end in a symbol or stand alone as one, sentence ends a word, words like one of the three before.
+    And the words' features."""
     first, end, marks = words_of(buf, starts)
     h = word_hashes(buf, first, end)
     n = np.diff(marks)
@@ -41,6 +42,9 @@ def statistics(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list]:
     per = lambda mask: np.bincount(text[mask], minlength=len(starts))
     again = np.zeros(len(h), bool)
     again[1:] = (h[1:] == h[:-1]) & (text[1:] == text[:-1])
+    echo = again.copy()
+    for back in (2, 3):
+        echo[back:] |= (h[back:] == h[:-back]) & (text[back:] == text[:-back])
     pairs = np.unique(np.stack([text.astype(U), h]), axis=1) if len(h) else np.zeros((2, 0), U)
     distinct = np.bincount(pairs[0].astype(np.int64), minlength=len(starts))
     ends = np.append(starts[1:], len(buf))
@@ -48,13 +52,13 @@ def statistics(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list]:
     up, low, sym = byte(UPPER), byte(LOWER), byte(SYMBOL)
     last = buf[end - 1] if len(end) else np.zeros(0, np.uint8)
     words = np.maximum(n, 1)
-    stats = np.stack([n, per(again) / words, distinct / words, up / np.maximum(up + low, 1), sym / np.maximum(ends - starts, 1), per(SYMBOL[last]) / words, per(STOP[last]) / words], axis=1)
+    stats = np.stack([n, per(again) / words, distinct / words, up / np.maximum(up + low, 1), sym / np.maximum(ends - starts, 1), per(SYMBOL[last]) / words, per(STOP[last]) / words, per(echo) / words], axis=1)
     return stats, [text, first, end, h, again, last, words]
 
 
 def votes(stats: np.ndarray) -> np.ndarray:
-    """One column a labeller: 1 good, -1 bad, 0 nothing. Short texts get few votes."""
-    n, again, distinct, upper, symbol, tail, stop = stats.T
+    """One column a labeller: 1 good, -1 bad, 0 nothing. Shares of few words vote bad only where they are telling."""
+    n, again, distinct, upper, symbol, tail, stop, echo = stats.T
     enough = n >= 8
     expected = np.minimum(1, 14 / np.sqrt(np.maximum(n, 1)))  # repeats of common words grow with length
     out = np.zeros((len(stats), len(LABELLERS)), np.int8)
@@ -66,10 +70,11 @@ def votes(stats: np.ndarray) -> np.ndarray:
             (enough & (stop < 0.005), stop > 0.04),
             (enough & (distinct < 0.45 * expected), distinct > 0.6 * expected),
             (enough & ((stop > 0.5) | (tail > 0.3)), (stop > 0.03) & (stop < 0.3)),
+            (enough & (echo > 0.3), echo < 0.12),
         )
     ):
         out[bad & (n > 0), k] = -1
-        out[good & enough & ~bad, k] = 1
+        out[good & (n >= 2) & ~bad, k] = 1
     return out
 
 
@@ -170,7 +175,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, floa
     """Label model from all documents' vote patterns, scorer from the posteriors of the `train_rows` documents with the
     smallest hash (a sample that reruns agree on)."""
     marked = keep(labelled(docs), "votes")
-    seen = marked.groupBy("pattern").count().toPandas()  # at most 3 ** 6 rows
+    seen = marked.groupBy("pattern").count().toPandas()  # at most 3 ** 7 rows
     v = np.array([[p // 3**k % 3 - 1 for k in range(len(LABELLERS))] for p in seen["pattern"]]).reshape(-1, len(LABELLERS)).astype(int)
     model = expectation_maximisation(v, seen["count"].to_numpy())
     sample = keep(marked.orderBy(F.xxhash64("rid", F.lit(5)), "did", "rid").limit(train_rows).dropDuplicates(["did", "rid"]), "sample")
