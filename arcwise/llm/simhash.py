@@ -1,13 +1,13 @@
 """SimHash near-dedup: 64-bit fingerprints of word shingles, linked within a few bits by tiled exact comparison.
 
-Fingerprints lie in cells by the population counts of their two halves. Two that differ in r bits lie in cells whose
-counts differ by r at most together, so a tile meets only the tiles of near cells: at most 41 of 1,089, whatever the
-input. Tiles are rows with an array of fingerprints; a cell above the tile size is dealt over more tiles."""
+Two fingerprints within r bits agree wholly in one of r + 1 blocks of bits, so only those meet that share a block: no pair
+is lost, and a task compares buckets instead of everything. Tiles of a bucket meet by exclusive-or and bit counts, and
+pairs of tiles whose population counts differ by more than r are skipped. A bucket above the tile size is dealt over
+more tiles, one pair of them at a time, so no task holds a hot bucket."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +17,9 @@ RADIUS = 4
 SHINGLE = 4
 SEED = 42
 TILE = 4096
+RUN = 1024
+SLAB = 256
+NONE = np.zeros(0, np.uint64)
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -57,52 +60,92 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def local_links(home: np.ndarray, others: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes (home, then others) that home's rows link, each with the first node of its component. Only a spanning
-    star leaves the tile, however many links there are inside."""
+    """Nodes (home, then others) linked inside the tile pair, each with the first node of its component. home meets
+    itself and others; slabs whose population counts differ beyond the radius are skipped. Only a spanning star leaves
+    the tile, however many links there are inside."""
+    home, others = (x[np.argsort(np.bitwise_count(x), kind="stable")] for x in (home, others))
     nodes = np.concatenate([home, others])
+    count = np.bitwise_count(nodes).astype(np.int64)
     lab = np.arange(len(nodes))
-    step = max(1, (1 << 18) // max(1, len(nodes)))
-    for i in range(0, len(home), step):
-        near = np.bitwise_count(home[i : i + step, None] ^ nodes[None, :]) <= radius
-        for r in np.flatnonzero(near.sum(1) > 1):
-            ids = np.unique(lab[near[r]])
-            if len(ids) > 1:
-                lab[np.isin(lab, ids[1:])] = ids[0]
+    for i in range(0, len(home), SLAB):
+        a = slice(i, min(i + SLAB, len(home)))
+        for j in [*range(i, len(home), SLAB), *range(len(home), len(nodes), SLAB)]:
+            b = slice(j, min(j + SLAB, len(home) if j < len(home) else len(nodes)))
+            if count[b.start] - count[a.stop - 1] > radius or count[a.start] - count[b.stop - 1] > radius:
+                continue
+            near = np.bitwise_count(nodes[a, None] ^ nodes[None, b]) <= radius
+            for r in np.flatnonzero(near.sum(1) > (i == j)):
+                ids = np.unique(np.append(lab[b][near[r]], lab[i + r]))
+                if len(ids) > 1:
+                    lab[np.isin(lab, ids[1:])] = ids[0]
     hit = np.flatnonzero(np.isin(lab, np.flatnonzero(np.bincount(lab, minlength=len(nodes)) > 1)))
     return nodes[hit], nodes[lab[hit]]
 
 
+def blocks(radius: int) -> list:
+    """The fingerprint's bits in radius + 1 blocks, as long Columns: two within `radius` bits agree in one of them."""
+    cut = np.linspace(0, 64, radius + 2).round().astype(int).tolist()
+    mask = [(1 << (b - a)) - 1 if b - a < 64 else -1 for a, b in zip(cut, cut[1:], strict=False)]
+    return [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit(m).cast("long")) for a, m in zip(cut, mask, strict=False)]
+
+
 def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Edges (u, v) that span the components of the distinct values in `fp` linked within `radius` bits."""
-    low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
-    cells = fps.select("fp").distinct().select("fp", F.bit_count(low).cast("int").alias("a"), F.bit_count(F.shiftrightunsigned("fp", 32)).cast("int").alias("b"))
-    cells = keep(cells, "cells")
-    parts = keep(cells.groupBy("a", "b").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts")), "parts")  # 33 x 33 rows at most
-    size = F.broadcast(parts)
-    tiles = cells.join(size, ["a", "b"]).groupBy("a", "b", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("p")).agg(F.collect_list("fp").alias("fps"))
-    tiles = keep(tiles, "tiles")
-    near = [(x, y) for x in range(-radius, radius + 1) for y in range(-radius, radius + 1) if abs(x) + abs(y) <= radius and (x, y) >= (0, 0)]
-    away = F.explode(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in near)))
-    dealt = (
-        tiles.select("a", "b", "p", "fps", away.alias("o"))
-        .select((F.col("a") + F.col("o.x")).alias("ha"), (F.col("b") + F.col("o.y")).alias("hb"), ((F.col("o.x") == 0) & (F.col("o.y") == 0)).alias("own"), "p", "fps")
-        .join(F.broadcast(parts.withColumnsRenamed({"a": "ha", "b": "hb"})), ["ha", "hb"])
-        .select("ha", "hb", "own", "p", "fps", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("hp"))
-        .where("not own or p <= hp")
-        .select("ha", "hb", "hp", (F.col("own") & (F.col("p") == F.col("hp"))).alias("home"), "fps")
-    )
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        home = [np.asarray(x, np.int64) for x in pdf.fps[pdf.home]]
-        rest = [np.asarray(x, np.int64) for x in pdf.fps[~pdf.home]]
-        none = np.zeros(0, np.int64)
-        if not home:
-            return pd.DataFrame({"u": none, "v": none})
-        u, v = local_links(home[0].view(np.uint64), (np.concatenate(rest) if rest else none).view(np.uint64), radius)
-        return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
-
-    out = keep(dealt.groupBy("ha", "hb", "hp").applyInPandas(compare, "u long, v long").where("u <> v"), "links")
-    drop(cells, parts, tiles)
+    """Edges (u, v) that span the components of the distinct values in `fp` linked within `radius` bits (below 64).
+
+    Buckets up to the tile size stream through their tasks as tiles of whole buckets. Larger ones are cut into tiles by
+    population count; a task then holds one pair of tiles at a time, of near counts."""
+    which = [F.struct(F.lit(k).alias("blk"), v.alias("val")) for k, v in enumerate(blocks(radius))]
+    cells = keep(fps.select("fp").distinct(), "cells")
+    rows = cells.select("fp", F.bit_count("fp").cast("int").alias("pc"), F.explode(F.array(*which)).alias("z")).select("z.blk", "z.val", "pc", "fp")
+    bucket, cell = ["blk", "val"], ["blk", "val", "pc"]
+    counts = keep(rows.groupBy(*cell).agg(F.count("*").alias("n")), "counts")
+    large = keep(counts.groupBy(*bucket).agg(F.sum("n").alias("n")).where(F.col("n") > tile).select(*bucket), "large")
+    parts = keep(counts.join(large, bucket).select(*cell, F.ceil(F.col("n") / tile).cast("int").alias("parts")), "parts")
+    edge = "u long, v long"
+
+    def edges(u, v):
+        import pyarrow as pa
+
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)[u != v]) for x in (u, v)], ["u", "v"])
+
+    def runs(batches):
+        held, size, last = [], 0, None
+        for b in batches:
+            blk, val, fp = (b.column(c).to_numpy() for c in ("blk", "val", "fp"))
+            if not len(fp):
+                continue
+            first = np.append(True, (blk[1:] != blk[:-1]) | (val[1:] != val[:-1]))
+            first[0] = (blk[0], val[0]) != last
+            at = 0
+            for i in np.flatnonzero(first).tolist():
+                if size + i - at >= RUN:
+                    held.append(fp[at:i])
+                    yield edges(*local_links(np.unique(np.concatenate(held).view(np.uint64)), NONE, radius))
+                    held, size, at = [], 0, i
+            held.append(fp[at:])
+            size, last = size + len(fp) - at, (blk[-1], val[-1])
+        if held:
+            yield edges(*local_links(np.unique(np.concatenate(held).view(np.uint64)), NONE, radius))
+
+    small = rows.join(large, bucket, "left_anti").select("blk", "val", "fp").repartition(*bucket).sortWithinPartitions(*bucket)
+    tiles = rows.join(parts, cell).withColumn("p", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    tiles = keep(tiles.groupBy(*cell, "p").agg(F.collect_list("fp").alias("fps")), "tiles")
+    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    home = parts.select(*cell, each.alias("p"), F.explode(F.sequence(F.lit(0), F.lit(radius))).alias("o"))
+    other = parts.select(*bucket, F.col("pc").alias("pc2"), each.alias("p2"))
+    pairs = home.withColumn("pc2", F.col("pc") + F.col("o")).join(other, [*bucket, "pc2"]).where("o > 0 or p2 >= p").drop("o")
+    met = pairs.join(tiles, [*cell, "p"]).join(tiles.withColumnsRenamed({"pc": "pc2", "p": "p2", "fps": "fps2"}), [*bucket, "pc2", "p2"])
+
+    def compare(batches):
+        for b in batches:
+            for own, x, y in zip(b.column("own").to_pylist(), b.column("fps"), b.column("fps2"), strict=True):
+                x, y = (z.values.to_numpy().view(np.uint64) for z in (x, y))
+                yield edges(*local_links(x, NONE if own else y, radius))
+
+    same = (F.col("pc") == F.col("pc2")) & (F.col("p") == F.col("p2"))
+    met = met.select(same.alias("own"), "fps", "fps2")
+    out = keep(small.mapInArrow(runs, edge).unionByName(met.mapInArrow(compare, edge)), "links")
+    drop(cells, counts, large, parts, tiles)
     return out
 
 
