@@ -18,6 +18,7 @@ from arcwise.llm.common import Prefix, U, chunks, doc_id, keep, keyed, mix, rest
 
 SIMILARITY = 0.8
 BLOCK = 2000
+CELLS = 1 << 20
 MAX_ITEMS = 1_000_000
 RECALL = 0.98
 SAMPLED = 2
@@ -162,8 +163,13 @@ def matches(index: Index, h: np.ndarray, marks: np.ndarray) -> list[tuple[int, i
         return []
     text, item, start = np.unique(np.concatenate(cands, axis=1), axis=1)
     begin, end = marks[text], marks[text + 1]
-    for i in range(0, len(text), 4096):
-        t, it, s, b, e = (x[i : i + 4096] for x in (text, item, start, begin, end))
+    # what is compared at a start must have words enough for the item less its edits
+    size, edits = index.lengths[item], np.array(index.edits, np.int64)[item]
+    whole = np.minimum(end, start + size + edits) - np.maximum(begin, start - edits) >= size - edits
+    text, item, start, begin, end = (x[whole] for x in (text, item, start, begin, end))
+    step = max(1, min(4096, CELLS // max(1, index.width)))
+    for i in range(0, len(text), step):
+        t, it, s, b, e = (x[i : i + step] for x in (text, item, start, begin, end))
         n = index.lengths[it]
         pos = s[:, None] + np.arange(index.width)[None, :]
         ok = (pos >= b[:, None]) & (pos < e[:, None]) & (np.arange(index.width)[None, :] < n[:, None])
@@ -195,21 +201,28 @@ def hashed_words(column) -> list[tuple[int, np.ndarray, np.ndarray]]:
     return out
 
 
+def blocks(lengths: list[int]) -> list[list[int]]:
+    """Items in blocks of at most BLOCK, and of at most CELLS words when all are padded to the longest; an item above
+    that is a block of its own."""
+    out: list[list[int]] = []
+    for i in sorted(range(len(lengths)), key=lengths.__getitem__):
+        if not out or len(out[-1]) == BLOCK or (len(out[-1]) + 1) * lengths[i] > CELLS:
+            out.append([])
+        out[-1].append(i)
+    return [sorted(x) for x in out]
+
+
 def build(benchmark: DataFrame, similarity: float = SIMILARITY) -> list[Index]:
-    """Indexes of blocks of items. Null and wordless items match nothing."""
+    """Indexes of blocks of items. Null and wordless items match nothing; very long ones don't widen the others' block."""
     import pyarrow as pa
 
     rows = benchmark.select("item_id", "text").where("text is not null").orderBy("item_id", "text").limit(MAX_ITEMS + 1).collect()
     if len(rows) > MAX_ITEMS:
         raise ValueError(f"over {MAX_ITEMS} benchmark items: split the query set")
-    out = []
-    for i in range(0, len(rows), BLOCK):
-        part = rows[i : i + BLOCK]
-        items = []
-        for _, h, marks in hashed_words(pa.array([r["text"] for r in part], pa.string())):
-            items += [h[a:b] for a, b in zip(marks[:-1], marks[1:], strict=True)]
-        out.append(Index([r["item_id"] for r in part], items, similarity))
-    return out
+    items = []
+    for _, h, marks in hashed_words(pa.array([r["text"] for r in rows], pa.string())):
+        items += [h[a:b] for a, b in zip(marks[:-1], marks[1:], strict=True)]
+    return [Index([rows[i]["item_id"] for i in part], [items[i] for i in part], similarity) for part in blocks([len(x) for x in items])]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -156,6 +156,7 @@ def test_simhash_tiles(spark):
     """Cells that are split over tiles find the same links; xxhash64 of the engine is XXH64 with seed 42."""
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(30)]
+    base += [base[0] ^ rng.getrandbits(40) for _ in range(30)]  # a hot bucket: equal in its upper bits
     fps = {b ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 3))) & (2**64 - 1) for b in base for _ in range(12)}
     signed = [f - 2**64 if f >= 2**63 else f for f in fps]
     df = spark.createDataFrame([(f,) for f in signed], "fp long")
@@ -252,6 +253,18 @@ def test_decontaminate(spark, empty):
     assert stage.count() == sum(1 for i, *_ in rows if i not in {a for a, _ in found})
 
 
+def test_decontaminate_long_items(spark, monkeypatch):
+    """A very long item is found in its holder, doesn't fit elsewhere and leaves short items in a block of their own."""
+    monkeypatch.setattr(decontaminate, "CELLS", 2000)
+    rng = random.Random(8)
+    long, short = prose(rng, 1500), [prose(rng, 12) for _ in range(3)]
+    assert decontaminate.blocks([1500, 12, 12, 12]) == [[1, 2, 3], [0]]
+    docs = frame(spark, [(1, f"{prose(rng, 10)} {long} {short[1]}", "s"), (2, long[:3000], "s"), (3, short[2], None), (4, prose(rng, 40), "s")])
+    bench = spark.createDataFrame([(9, long), *enumerate(short)], "item_id long, text string")
+    got = {tuple(r) for r in decontaminate.leaks(docs, bench).select("doc_id", "item_id", "distance").collect()}
+    assert got == {(1, 9, 0), (1, 1, 0), (3, 2, 0)}
+
+
 def test_lines(spark, docs, empty, tmp_path):
     for min_sites in (5, 2):
         spread = defaultdict(set)
