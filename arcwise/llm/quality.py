@@ -7,6 +7,7 @@ judges every document."""
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +31,42 @@ LETTER = UPPER | LOWER | (np.arange(256) >= 128)
 STOP = np.zeros(256, bool)
 STOP[[ord("."), ord("?"), ord("!")]] = True
 
+#: Stems of insults, which any ending may follow, in English, German, French and Spanish: those that are abuse wherever
+#: they stand, and those that are harmless once, as in "take out the trash". Accents are optional.
+STRONG = (
+    r"idiot|moron|imb[eé]cil|cr[eé]tin|dumbass|asshole|arsehole|bastard|bitch|motherfuck|fuck|shithead|dickhead|scumbag|wanker",
+    r"arschl[oö]ch|arschgeige|hurensohn|missgeburt|wichser|schlampe|drecksau|dreckskerl|mistkerl|trottel|dummkopf|schwachkopf|vollidiot|volltrottel|abschaum",
+    r"connard|connass|encul[eé]|salaud|salop|abruti|trouduc|raclure",
+    r"gilipoll|pendej|cabr[oó]n|hijueput|hijoput|maric[oó]n|malnacid",
+)
+MILD = (
+    r"stupid|pathetic|worthless|disgusting|loser|scum|trash|clown|filthy|vermin",
+    r"dumme|bl[oö]de|erb[aä]rmlich|widerlich|wertlos|versager|dreck|ekelhaft|nichtsnutz|ungeziefer",
+    r"path[eé]tique|minable|d[eé]go[uû]tant|merde|ordure|bouffon",
+    r"est[uú]pid|pat[eé]tic|asqueros|basura|escoria|mierd|payas[oa]|tont[oa]|fracasad|despreciabl",
+)
+LEXICON = "|".join(STRONG + MILD)
+INSULT = re.compile(rf"\b(?:(?P<strong>{'|'.join(STRONG)})|{'|'.join(MILD)})\w*")
+
+
+def abusive(column) -> np.ndarray:
+    """Per text of an Arrow string column: whether it has insults, one in 300 words at least, that are two different ones
+    or two with a strong one among them; or a strong one in at most 100 words. A mild one, also if repeated, or a few in
+    a long text are no abuse."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    out = np.zeros(len(column), bool)
+    may = pc.match_substring_regex(column.cast(pa.large_string()), LEXICON, ignore_case=True)
+    for i in np.flatnonzero(may.fill_null(False).to_numpy(zero_copy_only=False)):
+        text = column[int(i)].as_py().lower()
+        found = [(m[0], m["strong"] is not None) for m in INSULT.finditer(text)]
+        if found:
+            n, strong = len(text.split()), any(s for _, s in found)
+            several = len(found) > 1 and (strong or len({w for w, _ in found}) > 1)
+            out[i] = several and 300 * len(found) >= n or strong and n <= 100
+    return out
+
 
 def statistics(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list]:
     """Per text: words, share of words like the one before, of distinct words, upper-case letters, symbols among the
@@ -196,7 +233,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, floa
 def quality_scores(docs: DataFrame, threshold: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """One row per document: did, rid, doc_id, score (probability of good), keep (score at or above the threshold).
 
-    Null, empty and blank texts have no words, no votes and are rejected with score 0. Equal texts score equally;
+    Null, empty and blank texts have no words, no votes and are rejected with score 0, as are abusive ones. Equal texts score equally;
     repeated rows are returned each; extra columns are ignored; an empty table gives an empty result."""
     w, b, _ = fit(docs, train_rows)
 
@@ -210,7 +247,8 @@ def quality_scores(docs: DataFrame, threshold: float = 0.5, train_rows: int = TR
                 z = np.bincount(text, weights=w[bucket] * value, minlength=len(starts)) + b
                 blank = np.diff(words_of(buf, starts)[2]) == 0
                 out.append(np.where(blank, 0.0, 1 / (1 + np.exp(-np.clip(z, -30, 30)))))
-            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("rid"), pa.array(np.concatenate(out) if out else np.zeros(0))], ["did", "rid", "score"])
+            score = np.where(abusive(batch.column("text")), 0.0, np.concatenate(out)) if out else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("rid"), pa.array(score)], ["did", "rid", "score"])
 
     out = keyed(docs).mapInArrow(run, "did long, rid long, score double")
     return out.select("did", "rid", doc_id(), "score", (F.col("score") >= threshold).alias("keep"))

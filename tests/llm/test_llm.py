@@ -210,6 +210,23 @@ def test_quality(spark, empty):
     assert stage.count() == sum(r["keep"] for r in got)
 
 
+def test_quality_abuse(spark):
+    """Abuse in good prose is rejected in each language, a harmless single word isn't, nor a few in a long text."""
+    rng = random.Random(12)
+    good = [(i, ". ".join(prose(rng, 9).replace(".", "").replace(",", "").capitalize() for _ in range(rng.randint(3, 12))) + ".", "s") for i in range(300)]
+    says = ["you IDIOT, worthless scum", "du Vollidiot, erbärmlicher Versager", "espèce de crétin, pauvre connard", "eres un imbécil, pedazo de escoria"]
+    bad = [(1000 + i, f"{good[i][1]} The {says[i % 4]}. {good[i + 40][1]}", "s") for i in range(40)]
+    fine = [(2000 + i, f"{good[i][1]} We took the trash out. {good[i + 40][1]}", "s") for i in range(40)]
+    fine += [(2100 + i, f"{good[i][1]} The rate of null dummy débiles. Trash is trash. {good[i + 40][1]}", "s") for i in range(40)]
+    fine.append((3000, " ".join(t for _, t, _ in good) + " An idiot and a clown.", "s"))
+    got = {r["doc_id"]: r for r in quality.quality_scores(frame(spark, good + bad + fine)).collect()}
+    assert not any(got[i]["keep"] or got[i]["score"] for i, *_ in bad)
+    assert np.mean([got[i]["keep"] for i, *_ in good + fine]) > 0.98
+    assert got[3000]["keep"]
+    stage = quality.quality_stage(frame(spark, good + bad + fine))
+    assert not {r["doc_id"] for r in stage.collect()} & {i for i, *_ in bad}
+
+
 def edit_distance(item, words):
     row = [0] * (len(words) + 1)
     for i, a in enumerate(item, 1):
