@@ -212,13 +212,13 @@ def sparse_features(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float, LabelModel]:
-    """Label model from all documents' vote patterns, scorer from the posteriors of the `train_rows` documents with the
-    smallest hash (a sample that reruns agree on)."""
+    """Label model from all documents' vote patterns, scorer from the posteriors of the `train_rows` distinct documents
+    with the smallest hash (a sample that reruns agree on)."""
     marked = keep(labelled(docs), "votes")
     seen = marked.groupBy("pattern").count().toPandas()  # at most 3 ** 7 rows
     v = np.array([[p // 3**k % 3 - 1 for k in range(len(LABELLERS))] for p in seen["pattern"]]).reshape(-1, len(LABELLERS)).astype(int)
     model = expectation_maximisation(v, seen["count"].to_numpy())
-    sample = keep(marked.orderBy(F.xxhash64("rid", F.lit(5)), "did", "rid").limit(train_rows).dropDuplicates(["did", "rid"]), "sample")
+    sample = keep(marked.dropDuplicates(["did", "rid"]).orderBy(F.xxhash64("rid", F.lit(5)), "did", "rid").limit(train_rows), "sample")
     rows = sparse_features(keyed(docs).join(F.broadcast(sample), ["did", "rid"]).select("did", "rid", "text"))
     got = rows.dropDuplicates(["did", "rid"]).join(sample, ["did", "rid"]).toPandas()
     if got.empty:

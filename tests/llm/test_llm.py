@@ -210,6 +210,18 @@ def test_quality(spark, empty):
     assert stage.count() == sum(r["keep"] for r in got)
 
 
+def test_quality_sample(spark, monkeypatch):
+    """A row that is repeated often takes one place of the training sample, also where its hash is the smallest."""
+    rng = random.Random(13)
+    rows = [(i, prose(rng, 30), "s") for i in range(120)]
+    first = quality.keyed(frame(spark, rows)).selectExpr("did", "xxhash64(rid, 5) h").orderBy("h").first()["did"]
+    seen = []
+    real = quality.train
+    monkeypatch.setattr(quality, "train", lambda x, y: seen.append(len(y)) or real(x, y))
+    quality.fit(frame(spark, rows + [rows[first]] * 60), 50)
+    assert seen == [50]
+
+
 def test_quality_abuse(spark):
     """Abuse in good prose is rejected in each language, a harmless single word isn't, nor a few in a long text."""
     rng = random.Random(12)
