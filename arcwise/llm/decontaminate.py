@@ -3,7 +3,8 @@
 The random walk of Chakraborty, Goldenberg and Koucky maps words to a longer sequence, in which few edits become few
 Hamming differences. Tables sample positions of it; a window that agrees with an item in any table is verified by the
 exact edit distance. Only windows are hashed that hold an unbroken run of words which any match within the allowed
-edits must hold (pigeonhole), so that filter loses nothing; the tables' number comes from measured recall.
+edits must hold (pigeonhole), so that filter loses nothing; the tables' number comes from recall measured by class of
+lengths, and classes that the most tables don't bring to the target are verified at every window that passes the filter.
 
 The benchmark is a query set: it is collected after a check of its size and goes against all documents in blocks."""
 
@@ -53,6 +54,12 @@ def walk(windows: np.ndarray, salt: int, steps: int) -> np.ndarray:
     return out
 
 
+def assured(found: np.ndarray) -> float:
+    """Share found, less what chance may have added: Wilson's lower bound at one standard error."""
+    n, p = len(found), float(found.mean())
+    return float((p + 0.5 / n - np.sqrt(p * (1 - p) / n + 0.25 / n**2)) / (1 + 1 / n))
+
+
 @dataclass
 class Index:
     """Items' word hashes with their allowed edits, seeds and table signatures."""
@@ -100,31 +107,38 @@ class Index:
         return out
 
     def calibrate(self, copies: int = 4) -> None:
-        """As many tables as find RECALL of items edited as much as allowed, in steps of four, up to MAX_TABLES."""
+        """As many tables as find RECALL of items edited as much as allowed in each class of lengths (powers of two), in
+        steps of four, up to MAX_TABLES; few trials must show more. Items of classes that don't reach it are verified
+        without tables."""
         rng = np.random.default_rng(3)
+        kinds = np.frexp(np.maximum(self.lengths, 1))[1]
         rows, whose = [], []
-        for i in range(0, len(self.items), max(1, len(self.items) // 200)):
-            x = self.items[i]
-            for _ in range(copies if len(x) else 0):
-                y = x.tolist()
+        for kind in np.unique(kinds[self.lengths > 0]):
+            of = np.flatnonzero((kinds == kind) & (self.lengths > 0))
+            of = of[:: -(-len(of) // 200)]
+            # at least 50 trials a class, as far as their words stay few
+            for i in of.tolist() * max(copies, min(-(-50 // len(of)), CELLS // 8 // max(1, len(of) * self.width))):
+                y = self.items[i].tolist()
                 for _ in range(self.edits[i]):
-                    at, kind = int(rng.integers(len(y) + 1)), rng.integers(3)
-                    y[at : at + int(kind != 0)] = [int(rng.integers(1, 2**63))] * int(kind != 2)
+                    at, what = int(rng.integers(len(y) + 1)), rng.integers(3)
+                    y[at : at + int(what != 0)] = [int(rng.integers(1, 2**63))] * int(what != 2)
                 z = np.zeros(self.width, U)
-                y = y[: self.width]
+                y = y[: self.lengths[i]]  # a window has the item's words
                 z[: len(y)] = np.array(y, U)
                 rows.append(z)
                 whose.append(i)
-        found = np.zeros(len(rows), bool)
+        self.recall: dict[int, float] = {}
         if rows:
             r, w = np.array(rows), np.array(whose)
+            found = np.zeros(len(rows), bool)
             for t in range(0, MAX_TABLES, 4):
                 self.tables = t + 4
                 span = range(t, t + 4)
                 found |= (self.sampled(r, self.lengths[w], span) == self.sampled(self.padded[w], self.lengths[w], span)).any(1)
-                if found.mean() >= RECALL:
+                self.recall = {int(k): assured(found[kinds[w] == k]) for k in np.unique(kinds[w])}
+                if min(self.recall.values()) >= RECALL:
                     break
-        self.measured = float(found.mean()) if rows else 1.0
+        self.exact = np.array([self.recall.get(int(k), 1.0) < RECALL for k in kinds], bool)
         self.signatures = self.sampled(self.padded, self.lengths, range(self.tables)) if len(self.items) else np.zeros((0, self.tables), U)
 
 
@@ -167,6 +181,18 @@ def matches(index: Index, h: np.ndarray, marks: np.ndarray) -> list[tuple[int, i
     size, edits = index.lengths[item], np.array(index.edits, np.int64)[item]
     whole = np.minimum(end, start + size + edits) - np.maximum(begin, start - edits) >= size - edits
     text, item, start, begin, end = (x[whole] for x in (text, item, start, begin, end))
+    # items that tables don't assure: once a text and item, over all that lies round their starts
+    sure = index.exact[item]
+    spans: dict[tuple[int, int], list[int]] = {}
+    for t, i, s, b, e in zip(*(x[sure].tolist() for x in (text, item, start, begin, end)), strict=True):
+        d, n = index.edits[i], int(index.lengths[i])
+        at = spans.setdefault((t, i), [e, b])
+        at[:] = min(at[0], max(b, s - d)), max(at[1], min(e, s + n + d))
+    for (t, i), (a, z) in spans.items():
+        dist = best_distance(index.items[i], h[a:z])
+        if dist <= index.edits[i]:
+            found[t, i] = dist
+    text, item, start, begin, end = (x[~sure] for x in (text, item, start, begin, end))
     step = max(1, min(4096, CELLS // max(1, index.width)))
     for i in range(0, len(text), step):
         t, it, s, b, e = (x[i : i + step] for x in (text, item, start, begin, end))

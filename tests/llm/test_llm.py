@@ -294,6 +294,25 @@ def test_decontaminate_long_items(spark, monkeypatch):
     assert got == {(1, 9, 0), (1, 1, 0), (3, 2, 0)}
 
 
+def test_decontaminate_recall_by_length(monkeypatch):
+    """Long items that the tables miss more often than the target allows are found, also among many short ones."""
+    monkeypatch.setattr(decontaminate, "MAX_TABLES", 8)
+    rng = np.random.default_rng(14)
+    word = lambda n: rng.integers(1, 2**63, n).astype(np.uint64)
+    items = [word(5) for _ in range(300)] + [word(600) for _ in range(3)]
+    index = decontaminate.Index(list(range(len(items))), items, 0.8)
+    found = 0
+    for k in range(12):
+        y = items[300 + k % 3].copy()
+        y[rng.choice(600, 120, replace=False)] = word(120)
+        h = np.concatenate([word(50), y, word(50)])
+        got = decontaminate.matches(index, h, np.array([0, len(h)]))
+        assert all((t, i) == (0, 300 + k % 3) and d <= 120 for t, i, d in got)
+        found += len(got)
+    assert found == 12
+    assert index.exact[-3:].all()
+
+
 def test_lines(spark, docs, empty, tmp_path):
     for min_sites in (5, 2):
         spread = defaultdict(set)
