@@ -2,7 +2,10 @@
 
 The base patterns label credentials. From a bounded sample of them prefix trees are built and statistically compatible
 states merged (the ALERGIA test), which gives one probabilistic automaton a kind. Every other token that could be a
-credential is scored by its likelihood per character under each automaton."""
+credential is scored by its likelihood per character under each automaton.
+
+Three limits narrow what the automata add, not the base spans: only tokens of 16 or more characters with a digit and a
+letter are scored, a kind with fewer than 20 labelled values gets no automaton, and merging stops above 400 states."""
 
 from __future__ import annotations
 
