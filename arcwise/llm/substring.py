@@ -1,18 +1,19 @@
 """Substring dedup on a De Bruijn graph of tokens.
 
-Edges are the windows of 35 words, nodes what neighbouring windows share. Nonbranching stretches compact to paths
-(windows.py); Spark aggregations and joins find the paths that repeat, and where paths under one key differ - the
-graph branches there - their single edges are counted. Source coordinates (document, first word, length) take the
-result back to the texts, where the words are removed."""
+Edges are the windows of 35 words, nodes the 34 words that neighbouring windows share. Buckets by smallest 16-gram keep
+only windows that can repeat (windows.py); where paths under one key differ - the graph branches there - their single
+windows become edges of their own. Repeated edges whose nodes have in- and out-degree 1 compact to chains through joins,
+and the words at every chain's source coordinates (document, first word, length) are compared before any is removed."""
 
 from __future__ import annotations
 
 import hashlib
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from arcwise.llm.common import doc_id
-from arcwise.llm.windows import Units, classified, covered, repeated_windows, with_spans
+from arcwise.llm.windows import Units, classified, compared, covered, repeated_windows, with_spans
 
 WINDOW = 35
 K = 16
@@ -21,16 +22,23 @@ K = 16
 def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """(did, rid, start, n): runs of n windows from word `start` that occur more than once in all documents."""
     u = Units(True, window, min(k, window))
-    found = classified(u, docs)
-    return found.same.unionByName(repeated_windows(u, docs, found.open))
+
+    def search(seed: int) -> tuple[DataFrame, None]:
+        found = classified(u, docs, seed)
+        single = repeated_windows(u, docs, found.open, seed)
+        return found.same.withColumn("level", F.lit(0)).unionByName(single.withColumn("level", F.lit(1))), None
+
+    return compared(u, docs, search)
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """One row per document: did, rid, doc_id, n_words, n_removed, kept_sha256, kept_text.
 
     Removed is every word in a window whose words also start anywhere else, in this document or another; all windows
-    are judged on the input. Words are runs of non-blanks, unchanged. Null texts have no words; documents shorter than
-    a window lose nothing; rows that repeat id and text repeat each other's windows and are returned each."""
+    are judged on the input. Words are runs of non-blanks, unchanged. Null, empty and blank texts have no words; documents
+    shorter than a window lose nothing; rows that repeat id and text repeat each other's windows and are returned each;
+    a null doc_id is an id like others. Very long texts are hashed in pieces that overlap by a window. Extra columns,
+    whatever their names, are ignored; an empty table gives an empty result."""
 
     def run(batches):
         import pyarrow as pa

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from arcwise.llm import decontaminate, exact, lines, mixing, quality, secrets, simhash, substring, suffix, tokens
+from arcwise.llm import decontaminate, exact, lines, mixing, quality, secrets, simhash, substring, suffix, tokens, windows
 from arcwise.llm.common import components
 
 # columns that clash with the operators' own names
@@ -100,22 +100,104 @@ def test_substring(docs, empty, window, k):
     assert substring.substring_dedup(empty).count() == 0
 
 
-@pytest.mark.parametrize("few", [suffix.FEW_BYTES, 0])
-def test_suffix(docs, empty, few, monkeypatch):
-    """Also with every key too large to be sorted, so that the counting way answers alone."""
-    monkeypatch.setattr(suffix, "FEW_BYTES", few)
-    rows = corpus()
+def suffix_wanted(rows, size):
     data = [text_of(t) for _, t, _ in rows]
     want = []
-    for (i, *_), d, m in zip(rows, data, windows_brute(data, 400), strict=True):
+    for (i, *_), d, m in zip(rows, data, windows_brute(data, size), strict=True):
         kept = np.frombuffer(d, np.uint8)[~m].tobytes()
-        runs = int((np.diff(np.concatenate([[0], m.astype(int)])) == 1).sum())
-        want.append((i, len(d), int(m.sum()), runs, hashlib.sha256(kept).hexdigest()))
-    got = suffix.suffix_dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    assert order(tuple(r) for r in got.collect()) == order(want)
+        spans = int((np.diff(np.concatenate([[0], m.astype(int)])) == 1).sum())
+        want.append((i, len(d), int(m.sum()), spans, hashlib.sha256(kept).hexdigest()))
+    return order(want)
+
+
+def suffix_got(docs, *args):
+    got = suffix.suffix_dedup(docs, *args).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return order(tuple(r) for r in got.collect())
+
+
+@pytest.mark.parametrize("most", [suffix.SORT_BYTES, 2000, 0])
+def test_suffix(docs, empty, most):
+    """Also with keys too large to be sorted at once, down to windows that can't be cut further."""
+    assert suffix_got(docs, 400, 48, most) == suffix_wanted(corpus(), 400)
     assert suffix.suffix_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("most", [suffix.SORT_BYTES, 40, 0])
+def test_suffix_short_windows(spark, most):
+    """Few letters and short windows: many branches, texts that repeat inside themselves, paths cut by level."""
+    rng = random.Random(21)
+    rows = [(i, "".join(rng.choices("ab", k=rng.randint(0, 60))) + "xyzzyabcab" * (i % 3), "s") for i in range(60)]
+    rows += [(70, "a" * 50, "s"), (71, "ab" * 40, "s"), (72, "abc" * 30 + "q" + "abc" * 9, "s")]
+    assert suffix_got(frame(spark, rows), 12, 4, most) == suffix_wanted(rows, 12)
+
+
+def thue_morse(n, a, b):
+    out = a
+    while len(out) < n:
+        out += out.translate(str.maketrans(a + b, b + a))
+    return out[:n]
+
+
+def test_alike_for_polynomial_hashes(spark):
+    """Texts that polynomials modulo a power of two can't tell apart, whatever their base, lose nothing."""
+    x, y = thue_morse(8192, "a", "b"), thue_morse(8192, "b", "a")
+    rng = random.Random(22)
+    letters = "".join(rng.choices("cdefghij", k=8192))
+    mixed = lambda t: "".join(p + q for p, q in zip(t, letters, strict=True))
+    rows = [(1, mixed(x), "s"), (2, mixed(y), "s")]
+    assert suffix_got(frame(spark, rows)) == suffix_wanted(rows, 400)
+    head = [f"w{i}" for i in range(34)]
+    rows = [(k, " ".join([*head[:17], thue_morse(1024, *ab), *head[17:]]), "s") for k, ab in enumerate(("ab", "ba"))]
+    assert [r["n_removed"] for r in substring.substring_dedup(frame(spark, rows)).collect()] == [0, 0]
+
+
+def test_differing_texts_of_one_digest(spark):
+    """Where digests don't tell texts apart, the units themselves do, and the next seed decides."""
+    rng = random.Random(23)
+    shared = prose(rng, 20)
+    rows = [(i, f"{prose(rng, 30)} {shared} {prose(rng, 30)}", "s") for i in range(4)]
+    docs = frame(spark, rows)
+    u = windows.Units(True, 35, 16)
+    edges = docs.selectExpr("doc_id did", "xxhash64(doc_id, text) rid", "0 start", "3 n", "1L key", "2L digest", "0 level")
+    assert not windows.differing(u, docs, windows.chains(edges)).isEmpty()
+
+    seen = []
+
+    def search(seed):
+        seen.append(seed)
+        return edges if len(seen) == 1 else edges.limit(0), None
+
+    assert windows.compared(u, docs, search).count() == 0
+    assert seen == list(windows.SEEDS[:2])
+    with pytest.raises(RuntimeError):
+        windows.compared(u, docs, lambda seed: (edges, None))
+
+
+def test_graph(spark):
+    """Chains end where the graph branches, run across documents, and are cut where a document enters a cycle."""
+    #    a b c d   shared by 1, 2; 3 leaves after b; 4 goes round x y
+    texts = {1: "abcd", 2: "abcd", 3: "abq", 4: "xyxyxy"}
+    rows = [(doc, 0, k, 1, ord(c), 0, 0) for doc, t in texts.items() for k, c in enumerate(t) if c != "q"]
+    edges = spark.createDataFrame(rows, "did long, rid long, start int, n int, key long, digest long, level int")
+    got = {(r["did"], r["start"], r["n"], chr(r["key"])) for r in windows.chains(edges).collect()}
+    assert got == {(1, 0, 2, "a"), (2, 0, 2, "a"), (3, 0, 2, "a"), (1, 2, 2, "c"), (2, 2, 2, "c"), (4, 0, 2, "x"), (4, 2, 2, "x"), (4, 4, 2, "x")}
+
+
+def test_very_long_texts(spark, monkeypatch):
+    """Texts hashed in many pieces lose the same as in one."""
+    rng = random.Random(24)
+    part = prose(rng, 300)
+    rows = [(1, f"{prose(rng, 900)} {part} {prose(rng, 800)} {part}", "s"), (2, f"{part} {prose(rng, 50)}", "s"), (3, "ab " * 2000, "s")]
+    real = windows.Units
+    for module in (suffix, substring):
+        monkeypatch.setattr(module, "Units", lambda words, size, k, piece=0: real(words, size, k, 500))
+    assert suffix_got(frame(spark, rows)) == suffix_wanted(rows, 400)
+    words = [text_of(t).split() for _, t, _ in rows]
+    want = [(i, int(m.sum())) for (i, *_), m in zip(rows, windows_brute(words, 35), strict=True)]
+    got = substring.substring_dedup(frame(spark, rows)).select("doc_id", "n_removed")
+    assert order(tuple(r) for r in got.collect()) == order(want)
+
+
 def test_suffix_array():
     rng = random.Random(2)
     for s in [b"", b"a", b"banana", b"mississippi", b"aaaa", b"abab" * 9, *(bytes(rng.choices(b"ab\xff", k=rng.randint(1, 300))) for _ in range(60))]:
