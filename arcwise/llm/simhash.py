@@ -1,9 +1,9 @@
 """SimHash near-dedup: 64-bit fingerprints of word shingles, linked within a few bits by tiled exact comparison.
 
-Two fingerprints within r bits agree wholly in one of r + 1 blocks of bits, so only those meet that share a block: no pair
-is lost, and a task compares buckets instead of everything. Tiles of a bucket meet by exclusive-or and bit counts, and
-pairs of tiles whose population counts differ by more than r are skipped. A bucket above the tile size is dealt over
-more tiles, one pair of them at a time, so no task holds a hot bucket."""
+Tiles hold fingerprints of one band of population counts; only tiles of the same or the next band meet, since others
+differ by more than the radius, and inside a tile pair slabs are skipped likewise. In front stands a filter that loses no
+pair: two fingerprints within r bits agree wholly in one of r + 1 blocks of bits, so tiles are cut by a block's value.
+A band of a block's value above the tile size is dealt over more tiles, so no task holds a hot one."""
 
 from __future__ import annotations
 
@@ -61,15 +61,15 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 def local_links(home: np.ndarray, others: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Nodes (home, then others) linked inside the tile pair, each with the first node of its component. home meets
-    itself and others; slabs whose population counts differ beyond the radius are skipped. Only a spanning star leaves
-    the tile, however many links there are inside."""
+    others, or itself if there are none; slabs whose population counts differ beyond the radius are skipped. Only a
+    spanning star leaves the pair, however many links there are inside."""
     home, others = (x[np.argsort(np.bitwise_count(x), kind="stable")] for x in (home, others))
     nodes = np.concatenate([home, others])
     count = np.bitwise_count(nodes).astype(np.int64)
     lab = np.arange(len(nodes))
     for i in range(0, len(home), SLAB):
         a = slice(i, min(i + SLAB, len(home)))
-        for j in [*range(i, len(home), SLAB), *range(len(home), len(nodes), SLAB)]:
+        for j in range(len(home), len(nodes), SLAB) if len(others) else range(i, len(home), SLAB):
             b = slice(j, min(j + SLAB, len(home) if j < len(home) else len(nodes)))
             if count[b.start] - count[a.stop - 1] > radius or count[a.start] - count[b.stop - 1] > radius:
                 continue
@@ -90,62 +90,47 @@ def blocks(radius: int) -> list:
 
 
 def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Edges (u, v) that span the components of the distinct values in `fp` linked within `radius` bits (below 64).
-
-    Buckets up to the tile size stream through their tasks as tiles of whole buckets. Larger ones are cut into tiles by
-    population count; a task then holds one pair of tiles at a time, of near counts."""
+    """Edges (u, v) that span the components of the distinct values in `fp` linked within `radius` bits (below 64)."""
     which = [F.struct(F.lit(k).alias("blk"), v.alias("val")) for k, v in enumerate(blocks(radius))]
-    cells = keep(fps.select("fp").distinct(), "cells")
-    rows = cells.select("fp", F.bit_count("fp").cast("int").alias("pc"), F.explode(F.array(*which)).alias("z")).select("z.blk", "z.val", "pc", "fp")
-    bucket, cell = ["blk", "val"], ["blk", "val", "pc"]
-    counts = keep(rows.groupBy(*cell).agg(F.count("*").alias("n")), "counts")
-    large = keep(counts.groupBy(*bucket).agg(F.sum("n").alias("n")).where(F.col("n") > tile).select(*bucket), "large")
-    parts = keep(counts.join(large, bucket).select(*cell, F.ceil(F.col("n") / tile).cast("int").alias("parts")), "parts")
-    edge = "u long, v long"
+    values = keep(fps.select("fp").distinct(), "values")
+    band = F.floor(F.bit_count("fp") / (radius + 1)).cast("int")
+    rows = values.select("fp", band.alias("band"), F.explode(F.array(*which)).alias("z")).select("z.blk", "z.val", "band", "fp")
+    bucket, cell = ["blk", "val"], ["blk", "val", "band"]
+    parts = keep(rows.groupBy(*cell).agg(F.ceil(F.count("*") / tile).cast("int").alias("parts")), "parts")
+    dealt = rows.join(parts, cell).withColumn("p", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    tiles = keep(dealt.groupBy(*cell, "p").agg(F.collect_list("fp").alias("fps")), "tiles")
+    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    home = parts.select(*cell, each.alias("p")).withColumn("o", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band2", F.col("band") + F.col("o"))
+    other = parts.select(*bucket, F.col("band").alias("band2"), each.alias("p2"))
+    pairs = home.join(other, [*bucket, "band2"]).where("o = 1 or p2 > p").drop("o")
+    met = pairs.join(tiles, [*cell, "p"]).join(tiles.withColumnsRenamed({"band": "band2", "p": "p2", "fps": "fps2"}), [*bucket, "band2", "p2"])
+    own = tiles.where(F.size("fps") > 1).select("fps", F.array().cast("array<long>").alias("fps2"))
 
     def edges(u, v):
         import pyarrow as pa
 
         return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)[u != v]) for x in (u, v)], ["u", "v"])
 
-    def runs(batches):
-        held, size, last = [], 0, None
+    def compare(batches):
+        """Small pairs meet together, where a link between two of them is as true as any."""
+        held, size = [], 0
         for b in batches:
-            blk, val, fp = (b.column(c).to_numpy() for c in ("blk", "val", "fp"))
-            if not len(fp):
-                continue
-            first = np.append(True, (blk[1:] != blk[:-1]) | (val[1:] != val[:-1]))
-            first[0] = (blk[0], val[0]) != last
-            at = 0
-            for i in np.flatnonzero(first).tolist():
-                if size + i - at >= RUN:
-                    held.append(fp[at:i])
-                    yield edges(*local_links(np.unique(np.concatenate(held).view(np.uint64)), NONE, radius))
-                    held, size, at = [], 0, i
-            held.append(fp[at:])
-            size, last = size + len(fp) - at, (blk[-1], val[-1])
+            lists = [(c.offsets.to_numpy(), c.values.to_numpy().view(np.uint64)) for c in (b.column("fps"), b.column("fps2"))]
+            for i in range(len(b)):
+                x, y = (v[o[i] : o[i + 1]] for o, v in lists)
+                if len(x) + len(y) >= RUN:
+                    yield edges(*local_links(x, y, radius))
+                    continue
+                held += [x, y]
+                size += len(x) + len(y)
+                if size >= RUN:
+                    yield edges(*local_links(np.unique(np.concatenate(held)), NONE, radius))
+                    held, size = [], 0
         if held:
-            yield edges(*local_links(np.unique(np.concatenate(held).view(np.uint64)), NONE, radius))
+            yield edges(*local_links(np.unique(np.concatenate(held)), NONE, radius))
 
-    small = rows.join(large, bucket, "left_anti").select("blk", "val", "fp").repartition(*bucket).sortWithinPartitions(*bucket)
-    tiles = rows.join(parts, cell).withColumn("p", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    tiles = keep(tiles.groupBy(*cell, "p").agg(F.collect_list("fp").alias("fps")), "tiles")
-    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    home = parts.select(*cell, each.alias("p"), F.explode(F.sequence(F.lit(0), F.lit(radius))).alias("o"))
-    other = parts.select(*bucket, F.col("pc").alias("pc2"), each.alias("p2"))
-    pairs = home.withColumn("pc2", F.col("pc") + F.col("o")).join(other, [*bucket, "pc2"]).where("o > 0 or p2 >= p").drop("o")
-    met = pairs.join(tiles, [*cell, "p"]).join(tiles.withColumnsRenamed({"pc": "pc2", "p": "p2", "fps": "fps2"}), [*bucket, "pc2", "p2"])
-
-    def compare(batches):
-        for b in batches:
-            for own, x, y in zip(b.column("own").to_pylist(), b.column("fps"), b.column("fps2"), strict=True):
-                x, y = (z.values.to_numpy().view(np.uint64) for z in (x, y))
-                yield edges(*local_links(x, NONE if own else y, radius))
-
-    same = (F.col("pc") == F.col("pc2")) & (F.col("p") == F.col("p2"))
-    met = met.select(same.alias("own"), "fps", "fps2")
-    out = keep(small.mapInArrow(runs, edge).unionByName(met.mapInArrow(compare, edge)), "links")
-    drop(cells, counts, large, parts, tiles)
+    out = keep(own.unionByName(met.select("fps", "fps2")).mapInArrow(compare, "u long, v long"), "links")
+    drop(values, parts, tiles)
     return out
 
 
@@ -153,8 +138,9 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) ->
     """One row per document: did, rid, doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable),
     root (the component's smallest fingerprint as a signed long, which names it even where ids repeat or are null).
 
-    Null and blank texts have fingerprint 0 and link like others; repeated rows are returned each; extra columns are
-    ignored. Equal fingerprints are one node, so copies cost nothing in the comparison."""
+    Null, empty and blank texts have fingerprint 0 and link like others; very long texts are hashed shingle by shingle;
+    repeated rows are returned each; a null doc_id comes before all ids; extra columns are ignored; an empty table gives
+    an empty result. Equal fingerprints are one node, so copies cost nothing in the comparison."""
     fps = keep(fingerprints(docs, shingle), "fps")
     roots = components(links(fps, radius))
     ids = keep(fps.groupBy("fp").agg(F.min("did").alias("low")), "ids")
@@ -165,6 +151,7 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) ->
 
 
 def near_dedup_stage(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of each component, that with the smallest doc_id (then row key), with all its columns."""
+    """One row of each component, that with the smallest doc_id (null first, then row key), with all its columns. Null and
+    empty texts are one component with what links to fingerprint 0; an empty table stays empty."""
     first = near_dedup(docs, radius).groupBy("root").agg(F.min(F.struct("did", "rid")).alias("k"))
     return restrict(docs, keep(first.select("k.did", "k.rid"), "kept"), once=True)
