@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+import re
 import uuid
 
 import numpy as np
@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NO_ID = -(2**63)
+#: Rows of keys and hashes that may be broadcast, after a count: at most about 64 bytes each.
+BROADCAST_ROWS = 200_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,9 +22,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none."""
+    """The folder all executors share; a local one only where the session names none and all executors are local."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "/tmp/arcwise-checkpoints"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
