@@ -3,7 +3,7 @@
 Overlapping heuristic labellers vote good, bad or nothing on every document. Expectation maximisation over the counts of
 vote patterns of the whole corpus - at most 3 ** labellers rows, whatever the input - estimates each labeller's accuracy
 and the share of bad documents. Posteriors of a bounded sample train a linear scorer on hashed features, and the scorer
-judges every document."""
+judges every document. One pass reads the texts and leaves votes and features in a table; all else works on that."""
 
 from __future__ import annotations
 
@@ -119,9 +119,9 @@ def pattern(v: np.ndarray) -> np.ndarray:
     return ((v.astype(np.int64) + 1) * 3 ** np.arange(v.shape[1])).sum(1)
 
 
-def features(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed features (text, bucket, value): word endings, shapes and repeats as shares of the text's words, and the
-    statistics in steps. Lengths alone say nothing about quality and are left out."""
+def features(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The statistics, and hashed features (text, bucket, value): word endings, shapes and repeats as shares of the text's
+    words, and the statistics in steps. Lengths alone say nothing about quality and are left out."""
     stats, (text, first, end, h, again, last, words) = statistics(buf, starts)
     before = buf[np.maximum(end - 2, first)].astype(U)
     shape = (UPPER[buf[first]].astype(U) << U(2)) | (UPPER[last].astype(U) << U(1)) | again.astype(U) if len(first) else np.zeros(0, U)
@@ -130,7 +130,7 @@ def features(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     rows = np.arange(len(starts))
     for k in range(1, stats.shape[1]):
         parts.append((rows, mix(U(7919 * k) + np.floor(np.clip(stats[:, k], 0, 1) * 20).astype(U)), np.full(len(rows), 0.5)))
-    return np.concatenate([p[0] for p in parts]), (np.concatenate([p[1] for p in parts]) & U(BUCKETS - 1)).astype(np.int64), np.concatenate([p[2] for p in parts])
+    return stats, np.concatenate([p[0] for p in parts]), (np.concatenate([p[1] for p in parts]) & U(BUCKETS - 1)).astype(np.int64), np.concatenate([p[2] for p in parts])
 
 
 @dataclass(frozen=True)
@@ -178,82 +178,75 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 300) -> tuple[np.ndarray,
     return out, float(b)
 
 
-def labelled(docs: DataFrame) -> DataFrame:
-    """(did, rid, pattern): every document's vote pattern."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            out = [pattern(votes(statistics(buf, starts)[0])) for _, buf, starts in chunks(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("did"), b.column("rid"), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))], ["did", "rid", "pattern"])
-
-    return keyed(docs).mapInArrow(run, "did long, rid long, pattern long")
+DESCRIBED = "did long, rid long, pattern long, words long, abusive boolean, f array<short>, v array<float>"
 
 
-def sparse_features(docs: DataFrame) -> DataFrame:
-    """(did, rid, f, v): summed hashed features, for the training sample."""
+def described(docs: DataFrame) -> DataFrame:
+    """(did, rid, pattern, words, abusive, f, v): every document's vote pattern, word count, verdict of the lexicon, and
+    summed hashed features (bucket, value)."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            f, v = [], []
+            votes_, words, f, v = [], [], [], []
             for _, buf, starts in chunks(b.column("text")):
-                text, bucket, value = features(buf, starts)
+                stats, text, bucket, value = features(buf, starts)
+                votes_.append(pattern(votes(stats)))
+                words.append(stats[:, 0].astype(np.int64))
                 x = np.bincount(text * BUCKETS + bucket, weights=value)
                 at = np.flatnonzero(x)
-                cut = np.searchsorted(at // BUCKETS, np.arange(1, len(starts)))
-                f += [(p % BUCKETS).astype(np.int32) for p in np.split(at, cut)]
-                v += np.split(x[at].astype(np.float32), cut)
-            yield pa.RecordBatch.from_arrays([b.column("did"), b.column("rid"), pa.array(f, pa.list_(pa.int32())), pa.array(v, pa.list_(pa.float32()))], ["did", "rid", "f", "v"])
+                part = np.searchsorted(at // BUCKETS, np.arange(1, len(starts)))
+                f += np.split((at % BUCKETS).astype(np.int16), part)
+                v += np.split(x[at].astype(np.float32), part)
+            flat = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in (votes_, words)]
+            cols = [b.column("did"), b.column("rid"), *flat, pa.array(abusive(b.column("text"))), pa.array(f, pa.list_(pa.int16())), pa.array(v, pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays(cols, ["did", "rid", "pattern", "words", "abusive", "f", "v"])
 
-    return docs.mapInArrow(run, "did long, rid long, f array<int>, v array<float>")
+    return keyed(docs).mapInArrow(run, DESCRIBED)
 
 
-def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float, LabelModel]:
+def fit(table: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float, LabelModel]:
     """Label model from all documents' vote patterns, scorer from the posteriors of the `train_rows` distinct documents
-    with the smallest hash (a sample that reruns agree on)."""
-    marked = keep(labelled(docs), "votes")
-    seen = marked.groupBy("pattern").count().toPandas()  # at most 3 ** 7 rows
-    v = np.array([[p // 3**k % 3 - 1 for k in range(len(LABELLERS))] for p in seen["pattern"]]).reshape(-1, len(LABELLERS)).astype(int)
-    model = expectation_maximisation(v, seen["count"].to_numpy())
-    sample = keep(marked.dropDuplicates(["did", "rid"]).orderBy(F.xxhash64("rid", F.lit(5)), "did", "rid").limit(train_rows), "sample")
-    rows = sparse_features(keyed(docs).join(F.broadcast(sample), ["did", "rid"]).select("did", "rid", "text"))
-    got = rows.dropDuplicates(["did", "rid"]).join(sample, ["did", "rid"]).toPandas()
+    with the smallest hash (a sample that reruns agree on). table: what described() gives."""
+    each = lambda p: np.array([[x // 3**k % 3 - 1 for k in range(len(LABELLERS))] for x in p]).reshape(-1, len(LABELLERS)).astype(int)
+    seen = table.groupBy("pattern").count().toPandas()  # at most 3 ** 7 rows
+    model = expectation_maximisation(each(seen["pattern"]), seen["count"].to_numpy())
+    keys = table.select("did", "rid").distinct().orderBy(F.xxhash64("rid", F.lit(5)), "did", "rid").limit(train_rows)
+    got = table.select("did", "rid", "pattern", "f", "v").join(F.broadcast(keys), ["did", "rid"]).dropDuplicates(["did", "rid"]).orderBy("did", "rid").toPandas()
     if got.empty:
         return np.zeros(BUCKETS), 0.0, model
     x = np.zeros((len(got), BUCKETS), np.float32)
     for i, (f, val) in enumerate(zip(got.f, got.v, strict=True)):
         x[i, f] = val
-    y = model.posterior(np.array([[p // 3**k % 3 - 1 for k in range(len(LABELLERS))] for p in got["pattern"]]).astype(int))
-    return *train(x, y), model
+    return *train(x, model.posterior(each(got["pattern"]))), model
 
 
 def quality_scores(docs: DataFrame, threshold: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """One row per document: did, rid, doc_id, score (probability of good), keep (score at or above the threshold).
 
-    Null, empty and blank texts have no words, no votes and are rejected with score 0, as are abusive ones. Equal texts score equally;
-    repeated rows are returned each; extra columns are ignored; an empty table gives an empty result."""
-    w, b, _ = fit(docs, train_rows)
+    Null, empty and blank texts have no words, no votes and are rejected with score 0, as are abusive ones. Very long
+    texts are described whole. Equal texts score equally; repeated rows are returned each; a null doc_id is an id like
+    others; extra columns are ignored; an empty table gives an empty result."""
+    table = keep(described(docs), "described")
+    w, b, _ = fit(table, train_rows)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            out = []
-            for _, buf, starts in chunks(batch.column("text")):
-                text, bucket, value = features(buf, starts)
-                z = np.bincount(text, weights=w[bucket] * value, minlength=len(starts)) + b
-                blank = np.diff(words_of(buf, starts)[2]) == 0
-                out.append(np.where(blank, 0.0, 1 / (1 + np.exp(-np.clip(z, -30, 30)))))
-            score = np.where(abusive(batch.column("text")), 0.0, np.concatenate(out)) if out else np.zeros(0)
+            f, v = batch.column("f"), batch.column("v")
+            row = np.repeat(np.arange(len(batch)), f.value_lengths().to_numpy())
+            z = np.bincount(row, weights=w[f.flatten().to_numpy()] * v.flatten().to_numpy(), minlength=len(batch)) + b
+            bad = (batch.column("words").to_numpy() == 0) | batch.column("abusive").to_numpy(zero_copy_only=False)
+            score = np.where(bad, 0.0, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
             yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("rid"), pa.array(score)], ["did", "rid", "score"])
 
-    out = keyed(docs).mapInArrow(run, "did long, rid long, score double")
+    out = table.select("did", "rid", "words", "abusive", "f", "v").mapInArrow(run, "did long, rid long, score double")
     return out.select("did", "rid", doc_id(), "score", (F.col("score") >= threshold).alias("keep"))
 
 
 def quality_stage(docs: DataFrame) -> DataFrame:
-    """The documents that the classifier keeps, with all their columns and repeats."""
+    """The documents that the classifier keeps, with all their columns and repeats. Null, empty and blank texts go; an
+    empty table stays empty."""
     return restrict(docs, keep(quality_scores(docs).where("keep").select("did", "rid").distinct(), "kept"))
