@@ -1,19 +1,19 @@
 """Token counts that follow edits.
 
-A byte-level BPE encodes each pre-token by itself, so a text's count is the sum over its pre-tokens. A document's tree
-has runs of pre-tokens as leaves (length in characters, tokens) and sums above them. An edit re-encodes from the start
-of the pre-token that reaches it until a boundary falls again on an old one beyond it; other leaves stay as they are."""
+A byte-level BPE encodes each pre-token by itself, so a text's count is the sum over its pre-tokens. A document's tree,
+kept in a table, has runs of pre-tokens as leaves (characters, tokens) and sums above them. An edit finds its leaf from
+the root, re-encodes from the start of the pre-token that reaches it until a boundary falls again on an old one beyond
+it, and updates the sums on the paths of the leaves it changed; documents without edits are not encoded again."""
 
 from __future__ import annotations
 
 import base64
-from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcwise.llm.common import doc_id, keyed
+from arcwise.llm.common import NO_ID, doc_id, keep, keyed
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-token pattern of this vocabulary.
@@ -52,91 +52,116 @@ class Counter:
         return [n if (n := get(t)) is not None else self.count(t) for t in tokens]
 
 
-@dataclass
 class Tree:
-    """Leaves (characters, tokens) in order; sums[k] holds the token sums of 2 ** k neighbouring leaves."""
+    """Leaves (characters, tokens) in order; chars[k] and tokens[k] hold the sums of 2 ** k neighbouring leaves."""
 
-    lengths: list[int]
-    tokens: list[int]
-    sums: list[list[int]]
+    def __init__(self, chars: list[int], tokens: list[int]):
+        self.chars, self.tokens = sums_of(chars), sums_of(tokens)
+        self.touched = 0  # sums written by edits
 
     @property
     def total(self) -> int:
-        return self.sums[-1][0] if self.sums[-1] else 0
-
-    def rebuild(self, first: int, old: int, lengths: list[int], tokens: list[int]) -> None:
-        """Put new leaves for `old` ones; where their number stays, only the sums above them change."""
-        same = len(lengths) == old
-        self.lengths[first : first + old], self.tokens[first : first + old] = lengths, tokens
-        if not same:
-            self.sums = sums_of(self.tokens)
-            return
-        self.sums[0][first : first + old] = tokens
-        lo, hi = first, first + old
-        for k in range(1, len(self.sums)):
+        return self.tokens[-1][0] if self.tokens[-1] else 0
+
+    @property
+    def length(self) -> int:
+        return self.chars[-1][0] if self.chars[-1] else 0
+
+    def find(self, place: int) -> tuple[int, int]:
+        """The first leaf that ends at or behind the place, or else the last leaf, and where it starts."""
+        i, begin = 0, 0
+        for level in self.chars[-2::-1]:
+            i *= 2
+            if i + 1 < len(level) and begin + level[i] < place:
+                begin += level[i]
+                i += 1
+        return i, begin
+
+    def put(self, first: int, chars: list[int], tokens: list[int]) -> None:
+        """New values for the leaves from `first` on, and for the sums above them."""
+        lo, hi = first, first + len(chars)
+        self.chars[0][lo:hi], self.tokens[0][lo:hi] = chars, tokens
+        self.touched += hi - lo
+        for k in range(1, len(self.chars)):
             lo, hi = lo // 2, (hi + 1) // 2
-            below = self.sums[k - 1]
-            for i in range(lo, min(hi, len(self.sums[k]))):
-                self.sums[k][i] = sum(below[2 * i : 2 * i + 2])
+            for sums in (self.chars, self.tokens):
+                for i in range(lo, hi):
+                    sums[k][i] = sum(sums[k - 1][2 * i : 2 * i + 2])
+            self.touched += hi - lo
 
 
-def sums_of(tokens: list[int]) -> list[list[int]]:
-    out = [list(tokens)]
+def sums_of(leaves: list[int]) -> list[list[int]]:
+    out = [list(leaves)]
     while len(out[-1]) > 1:
         x = out[-1]
         out.append([sum(x[i : i + 2]) for i in range(0, len(x), 2)])
     return out
 
 
-def leaves(counter: Counter, pre: list[str]) -> tuple[list[int], list[int]]:
-    n = np.array(counter.counts(pre), np.int64)
-    size = np.array([len(t) for t in pre], np.int64)
-    at = np.arange(0, len(pre), LEAF)
-    return (np.add.reduceat(size, at).tolist(), np.add.reduceat(n, at).tolist()) if len(pre) else ([], [])
+def leaves(counter: Counter, pre: list[str], number: int | None = None) -> tuple[list[int], list[int]]:
+    """Characters and tokens of runs of LEAF pre-tokens, or of `number` runs of like size (some empty if need be)."""
+    n = np.append(0, np.cumsum(counter.counts(pre)))
+    size = np.append(0, np.cumsum([len(t) for t in pre]))
+    cut = np.append(np.arange(0, len(pre), LEAF), len(pre)) if number is None else np.linspace(0, len(pre), number + 1).astype(int)
+    return np.diff(size[cut]).astype(int).tolist(), np.diff(n[cut]).astype(int).tolist()
 
 
 def build(counter: Counter, text: str) -> Tree:
-    lengths, tokens = leaves(counter, counter.pattern.findall(text))
-    return Tree(lengths, tokens, sums_of(tokens))
+    return Tree(*leaves(counter, counter.pattern.findall(text)))
 
 
 def edit(counter: Counter, tree: Tree, text: str, start: int, stop: int, new: str) -> tuple[str, int]:
     """Replace text[start:stop] by `new`; the tree follows. Returns the new text and the characters re-encoded.
 
-    A leaf that ends at the edit's start is redone too: its last pre-token may grow, or look one character ahead. The
-    scan stops at the first boundary that was a leaf's end behind the edit, since from equal boundaries on equal text
-    both scans run alike."""
+    A leaf that ends at the edit's start, or one character before, is redone too: its last pre-token may grow, or have
+    looked up to two characters ahead. The scan stops at the first boundary that was a leaf's end behind the edit, since
+    from equal boundaries on equal text both scans run alike. What was encoded again takes the places of the leaves it
+    covers; leaves that would grow beyond four times their size make the tree be laid out anew from its leaves, which
+    encodes nothing."""
     out = text[:start] + new + text[stop:]
-    ends = np.cumsum(tree.lengths)
-    first = min(int(np.searchsorted(ends, start)), max(0, len(tree.lengths) - 1))
-    begin = int(ends[first]) - tree.lengths[first] if tree.lengths else 0
+    old = tree.chars[0]
+    first, begin = tree.find(start - 1) if old else (0, 0)
     shift = len(new) - (stop - start)
-    after = {int(e) + shift: i for i, e in enumerate(ends) if e >= stop and i >= first} if tree.lengths else {}
-    pre, pos, last = [], begin, len(tree.lengths) - 1
+    pre, pos, last = [], begin, first
+    end = begin + old[first] if old else 0  # where leaf `last` ended
     for m in counter.pattern.finditer(out, begin):
         pre.append(m[0])
         pos = m.end()
-        if pos in after and pos > start + len(new):
-            last = after[pos]
+        while last + 1 < len(old) and end + shift < pos:
+            last += 1
+            end += old[last]
+        if pos > start + len(new) and end >= stop and end + shift == pos:
             break
-    lengths, tokens = leaves(counter, pre)
-    tree.rebuild(first, last - first + 1, lengths, tokens)
+    else:
+        last = len(old) - 1
+    count = last - first + 1 if old else 0
+    if 0 < count and len(pre) <= 4 * LEAF * count:
+        tree.put(first, *leaves(counter, pre, count))
+    else:
+        chars, tokens = leaves(counter, pre)
+        touched = tree.touched + len(old)
+        tree.__init__(old[:first] + chars + old[first + count :], tree.tokens[0][:first] + tokens + tree.tokens[0][first + count :])
+        tree.touched = touched
     return out, pos - begin
 
 
-def standard_edits(text: str) -> list[tuple[int, int, str]]:
-    """Edits that every document can take, from behind so that places stay: a mark at three quarters, the word-sized
-    stretch at the middle removed, another mark put in place of one character at a quarter."""
-    n = len(text)
-    return [(3 * n // 4, 3 * n // 4, " [edited] "), (n // 2, min(n, n // 2 + 7), ""), (n // 4, min(n, n // 4 + 1), "42")]
+def standard_edits(text: str):
+    """As a Column, edits that every document can take, from behind so that places stay: a mark at three quarters, the
+    word-sized stretch at the middle removed, another mark put in place of one character at a quarter."""
+    n = F.char_length(text)
+    at = lambda x: F.floor(x).cast("int")
+    one = lambda a, z, new: F.struct(a.alias("start"), z.cast("int").alias("stop"), F.lit(new).alias("new"))
+    half, quarter, rest = at(n / 2), at(n / 4), at(n * 3 / 4)
+    return F.array(one(rest, rest, " [edited] "), one(half, F.least(n, half + 7), ""), one(quarter, F.least(n, quarter + 1), "42"))
 
 
-def token_counts(docs: DataFrame, path: str = TOKENIZER, edits=standard_edits) -> DataFrame:
-    """One row per document: did, rid, doc_id, n_tokens, n_edited_tokens (after `edits`, from the tree), n_reencoded
-    (characters encoded again for the edits), leaf_chars, leaf_tokens (the tree's leaves).
+TREE = "did long, rid long, text string, n_tokens long, leaf_chars array<int>, leaf_tokens array<int>"
 
-    edits(text) gives (start, stop, new) in falling order of place. Null texts are empty; repeated rows are returned
-    each; extra columns are ignored; very long texts make long leaf lists and nothing else."""
+
+def token_trees(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
+    """One row per document: did, rid, text, n_tokens, leaf_chars, leaf_tokens (the tree's leaves, whose sums are built
+    when it is read). Null texts are empty; repeated rows are returned each; a null doc_id is an id like others; very
+    long texts make long leaf lists and nothing else; extra columns are ignored; an empty table gives an empty result."""
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(docs.sparkSession, path))  # a vocabulary: bounded
 
     def run(batches):
@@ -144,18 +169,52 @@ def token_counts(docs: DataFrame, path: str = TOKENIZER, edits=standard_edits) -
 
         counter = Counter(ranks.value)
         for b in batches:
-            cols = [[], [], [], [], []]
-            for text in b.column("text").to_pylist():
-                tree = build(counter, text)
-                before, shape = tree.total, (list(tree.lengths), list(tree.tokens))
-                redone = 0
-                for start, stop, new in edits(text):
-                    text, n = edit(counter, tree, text, start, stop, new)
-                    redone += n
-                for c, v in zip(cols, (before, tree.total, redone, *shape), strict=True):
+            trees = [build(counter, t) for t in b.column("text").to_pylist()]
+            lists = [pa.array([t.chars[0] for t in trees], pa.list_(pa.int32())), pa.array([t.tokens[0] for t in trees], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([b.column("did"), b.column("rid"), b.column("text"), pa.array([t.total for t in trees], pa.int64()), *lists], ["did", "rid", "text", "n_tokens", "leaf_chars", "leaf_tokens"])
+
+    return keyed(docs).mapInArrow(run, TREE)
+
+
+def follow_edits(trees: DataFrame, path: str = TOKENIZER) -> DataFrame:
+    """The trees behind their `edits`, a column of arrays of (start, stop, new) that apply one behind the other, in code
+    points; null: none. Further columns: n_before, n_reencoded (characters encoded again), n_sums (sums written). Places
+    beyond the text count as its end. Only documents with edits are encoded, and of those only what the edits touch."""
+    ranks = trees.sparkSession.sparkContext.broadcast(read_ranks(trees.sparkSession, path))
+    names = ["did", "rid", "text", "n_tokens", "leaf_chars", "leaf_tokens"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        counter = Counter(ranks.value)
+        for b in batches:
+            cols = [[] for _ in range(7)]
+            for text, n, chars, tokens, edits in zip(*(b.column(c).to_pylist() for c in ("text", "n_tokens", "leaf_chars", "leaf_tokens", "edits")), strict=True):
+                tree, redone = Tree(chars, tokens), 0
+                for e in edits or ():
+                    start = min(max(e["start"], 0), len(text))
+                    text, k = edit(counter, tree, text, start, min(max(e["stop"], start), len(text)), e["new"] or "")
+                    redone += k
+                for c, v in zip(cols, (text, tree.total, tree.chars[0], tree.tokens[0], n, redone, tree.touched), strict=True):
                     c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column("did"), b.column("rid"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["did", "rid", "n_tokens", "n_edited_tokens", "n_reencoded", "leaf_chars", "leaf_tokens"])
+            kinds = (pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("did"), b.column("rid"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [*names, "n_before", "n_reencoded", "n_sums"])
+
+    return trees.select(*names, "edits").mapInArrow(run, f"{TREE}, n_before long, n_reencoded long, n_sums long")
 
-    out = keyed(docs).mapInArrow(run, "did long, rid long, n_tokens long, n_edited_tokens long, n_reencoded long, leaf_chars array<int>, leaf_tokens array<int>")
-    return out.select("did", "rid", doc_id(), *[F.col(c) for c in ("n_tokens", "n_edited_tokens", "n_reencoded", "leaf_chars", "leaf_tokens")])
+
+def with_edits(trees: DataFrame, edits: DataFrame) -> DataFrame:
+    """The trees of the documents that a table of edits (doc_id, no, start, stop, new) names, with their edits in order of
+    `no`. The others need no work and stay as they are in the table of trees."""
+    one = F.struct("no", "start", "stop", "new")
+    by = edits.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("did")).agg(F.sort_array(F.collect_list(one)).alias("edits"))
+    return trees.join(by, "did").withColumn("edits", F.transform("edits", lambda e: F.struct(e["start"].alias("start"), e["stop"].alias("stop"), e["new"].alias("new"))))
+
+
+def token_counts(docs: DataFrame, path: str = TOKENIZER, edits=standard_edits) -> DataFrame:
+    """One row per document: did, rid, doc_id, n_tokens, n_edited_tokens (after `edits`, from the kept tree),
+    n_reencoded, n_sums, leaf_chars, leaf_tokens (the tree's leaves behind the edits). edits(column) gives a Column as
+    follow_edits takes it. Edge cases as in token_trees; edits of an empty text insert."""
+    trees = keep(token_trees(docs, path), "trees")
+    out = follow_edits(trees.withColumn("edits", edits("text")), path)
+    return out.select("did", "rid", doc_id(), F.col("n_before").alias("n_tokens"), F.col("n_tokens").alias("n_edited_tokens"), "n_reencoded", "n_sums", "leaf_chars", "leaf_tokens")
