@@ -42,8 +42,9 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) ->
     """One row per document: did, rid, doc_id, n_lines, n_removed, kept_sha256, kept_text.
 
     Lines end at line feeds; blanks around them don't count for equality; blank lines stay. A null source is a site of
-    its own, the same as an empty one. Null texts have one empty line; repeated rows are returned each; extra columns
-    are ignored. Kept lines are joined by line feeds as they were."""
+    its own, the same as an empty one. Null and empty texts have one empty line; very long texts are split whole;
+    repeated rows are returned each; a null doc_id is an id like others; extra columns are ignored; an empty table gives
+    an empty result. Kept lines are joined by line feeds as they were."""
     rows = keep(line_rows(docs), "lines")
     bad = keep(boilerplate(rows, min_sites, lg_k), "boilerplate")
     hit = rows.join(bad, ["a", "b"]).groupBy("did", "rid").agg(F.collect_set("no").alias("gone"))

@@ -20,6 +20,8 @@ from arcwise.llm.common import chunks, columns, doc_id, fresh, keep, keyed, with
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
 PART = 4096
+#: Sources that a mix may have: each is a row on the driver and in a broadcast, some 100 bytes.
+MAX_SOURCES = 100_000
 
 
 def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, most: float = MOST) -> dict[str | None, float]:
@@ -179,10 +181,15 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, most: float = MOST, part: int
 
     Each source's words come as near its target as its documents' sizes allow. Null texts have size 0 and are taken as
     often as chance has it, which adds no words; a source without words has
-    target 0 and gives nothing; a null source is a source, the last. Repeated rows are documents of their own. Reruns
-    agree: chance comes from row keys. The driver gets one row per source, whose number the mix's weights bound."""
+    target 0 and gives nothing; a null source is a source, the last. Repeated rows are documents of their own; very long
+    texts count whole; a null doc_id is an id like others; extra columns, whatever their names, are ignored; an empty
+    table gives an empty result. Reruns agree: chance comes from row keys. The driver gets one row per source; more than
+    MAX_SOURCES are refused. What the flight leaves open lands where the words come nearest to their sum: exactly for
+    the eight largest such documents, by rounding for the rest, and polish() then moves copies for nearness."""
     sized = keep(counted(docs), "sizes")
-    total = sized.groupBy("src").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()
+    total = sized.groupBy("src").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
+    if len(total) > MAX_SOURCES:
+        raise ValueError(f"over {MAX_SOURCES} sources: a mix weighs sources one by one, so group them first")
     goal = targets([(None if r["src"] == "1" else r["src"][1:], r["source_size"]) for r in total], weights, most)
     rows = []
     for r in total:
@@ -210,7 +217,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, most: float = MOST, part: int
 
 def mixing_stage(docs: DataFrame) -> DataFrame:
     """The mix: each document as often as it is taken, with all its columns. Rows that repeat id and text share what
-    they were given."""
+    they were given. Null and empty texts are taken as chance has it; an empty table stays empty."""
     did, rid, copies, rows, n = fresh(docs, "did", "rid", "copies", "rows", "n")
     by = mix_sources(docs).groupBy(F.col("did").alias(did), F.col("rid").alias(rid))
     picked = keep(by.agg(F.sum("copies").alias(copies), F.count("*").alias(rows)).where(F.col(copies) > 0), "picked")
