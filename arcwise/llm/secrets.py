@@ -46,11 +46,13 @@ def base_spans(text: str) -> list[tuple[int, str, int, int]]:
 
 
 def candidates(text: str, spans) -> list[tuple[int, int]]:
-    """Long tokens with a digit and a letter outside the base spans."""
-    out = []
+    """Long tokens with a digit and a letter outside the base spans; both come in order, so one walk goes over both."""
+    out, reach, at = [], 0, 0  # reach: the furthest end of the spans that start before the token's end
     for m in CANDIDATE.finditer(text):
-        t = m[0]
-        if any(c.isdigit() for c in t) and any(c.isalpha() for c in t) and not any(s < m.end() and m.start() < e for s, _, _, e in spans):
+        while at < len(spans) and spans[at][0] < m.end():
+            reach = max(reach, spans[at][3])
+            at += 1
+        if reach <= m.start() and any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]):
             out.append((m.start(), m.end()))
     return out
 
@@ -193,8 +195,9 @@ def find_secrets(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """One row per document: did, rid, doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
     Spans are kind:start:end in code points, end exclusive, by start and then by kind; those the automata add have kind
-    "format". base_sha256 is of the base spans alone. Null and empty texts have none; repeated rows are returned each;
-    extra columns are ignored. `sample` bounds the labelled values of a kind that the automata are inferred from: those
+    "format". base_sha256 is of the base spans alone. Null and empty texts have none; very long texts are searched
+    whole; repeated rows are returned each; a null doc_id is an id like others; extra columns are ignored; an empty table
+    gives an empty result. `sample` bounds the labelled values of a kind that the automata are inferred from: those
     with the smallest hashes, so reruns agree."""
     found = keep(scan(docs), "scan")
     pairs = found.select(F.explode(F.arrays_zip("kinds", "vals")).alias("z")).select(F.col("z.kinds").alias("kind"), F.col("z.vals").alias("value")).distinct()

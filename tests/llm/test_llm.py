@@ -471,33 +471,63 @@ def test_lines_many_sites(spark):
     assert got == 300
 
 
+def standard(text):
+    n = len(text)
+    return [(3 * n // 4, 3 * n // 4, " [edited] "), (n // 2, min(n, n // 2 + 7), ""), (n // 4, min(n, n // 4 + 1), "42")]
+
+
 def test_tokens(spark, docs, empty):
-    ranks = tokens.read_ranks(spark, tokens.TOKENIZER)
-    counter = tokens.Counter(ranks)
+    counter = tokens.Counter(tokens.read_ranks(spark, tokens.TOKENIZER))
     full = lambda t: len(counter.encode(t))
     want = []
     for i, t, _ in corpus():
         t = t or ""
         n, e = full(t), t
-        for s, stop, new in tokens.standard_edits(t):
+        for s, stop, new in standard(t):
             e = e[:s] + new + e[stop:]
         want.append((i, n, full(e)))
     got = tokens.token_counts(docs)
     assert order(tuple(r) for r in got.select("doc_id", "n_tokens", "n_edited_tokens").collect()) == order(want)
     long_ = got.where("doc_id = 306").first()
     assert long_["n_reencoded"] < 0.05 * sum(long_["leaf_chars"])
+    assert long_["n_sums"] < 100 < len(long_["leaf_chars"])  # paths, not the whole tree
     assert tokens.token_counts(empty).count() == 0
+
+
+def test_token_trees():
+    """Any edits in any order: the tree equals a full recount, its sums hold, and each leaf is whole pre-tokens."""
+    from pyspark.sql import SparkSession
+
+    counter = tokens.Counter(tokens.read_ranks(SparkSession.getActiveSession(), tokens.TOKENIZER))
     rng = random.Random(8)
-    for _ in range(300):
-        text = "".join(rng.choices("ab  \n\n1'st.é", k=rng.randint(0, 500)))
+    for k in range(300):
+        text = "".join(rng.choices("ab  \n\n1'st.é", k=rng.randint(0, 500 if k % 10 else 6000)))
         tree = tokens.build(counter, text)
-        for _ in range(4):
+        for _ in range(6):
             s = rng.randint(0, len(text))
-            stop = rng.randint(s, min(len(text), s + 9))
-            text, _ = tokens.edit(counter, tree, text, s, stop, "".join(rng.choices("ab \n1's", k=rng.randint(0, 6))))
-            assert tree.total == full(text) == sum(tree.tokens)
-            assert sum(tree.lengths) == len(text)
-            assert tree.sums == tokens.sums_of(tree.tokens)
+            stop = rng.randint(s, min(len(text), s + rng.choice([0, 9, 9, 400])))
+            text, _ = tokens.edit(counter, tree, text, s, stop, "".join(rng.choices("ab \n1's", k=rng.choice([0, 3, 6, 700]))))
+            assert tree.total == len(counter.encode(text)) == sum(tree.tokens[0])
+            assert tree.length == len(text)
+            assert (tree.tokens, tree.chars) == (tokens.sums_of(tree.tokens[0]), tokens.sums_of(tree.chars[0]))
+            for place in (0, s, len(text)):
+                i, begin = tree.find(place) if tree.chars[0] else (0, 0)
+                assert begin == sum(tree.chars[0][:i])
+
+
+def test_edit_table(spark, docs, monkeypatch):
+    """A table of edits reaches the kept trees of the documents it names, and no other document is encoded."""
+    trees = tokens.token_trees(docs)
+    rows = [(5, 1, 3, 9, "new words"), (5, 2, 0, 0, "At the start "), (6, 1, 10_000, 10_001, " the end"), (302, 1, 0, 99, None)]
+    edits = spark.createDataFrame(rows, "doc_id long, no int, start int, stop int, new string")
+    got = {r["did"]: r for r in tokens.follow_edits(tokens.with_edits(trees, edits)).collect()}
+    assert set(got) == {5, 6, 302}
+    texts = {i: t for i, t, _ in corpus()}
+    counter = tokens.Counter(tokens.read_ranks(spark, tokens.TOKENIZER))
+    want = {5: "At the start " + texts[5][:3] + "new words" + texts[5][9:], 6: texts[6] + " the end", 302: ""}
+    for i, t in want.items():
+        assert (got[i]["text"], got[i]["n_tokens"]) == (t, len(counter.encode(t)))
+        assert got[i]["n_before"] == len(counter.encode(texts[i]))
 
 
 def test_targets():
@@ -509,6 +539,65 @@ def test_targets():
     assert mixing.targets([]) == {}
 
 
+def targets_brute(sizes):
+    """Where every open source has its weight's share of one level, found by bisection, and none is above its cap."""
+    names = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    at = lambda level: {s: min(weight[s] * level, 3 * sizes[s]) for s in names}
+    lo, hi = 0.0, float(3 * sum(sizes.values()) + 1)
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(at(mid).values()) < sum(sizes.values()) else (lo, mid)
+    return at(hi)
+
+
+def test_targets_by_level():
+    rng = random.Random(41)
+    for _ in range(200):
+        sizes = {f"s{i}": rng.choice([0, 1, 5, rng.randint(0, 10**rng.randint(1, 7))]) for i in range(rng.randint(1, 12))}
+        if rng.random() < 0.5:
+            sizes[None] = rng.randint(0, 1000)
+        got, want = mixing.targets(list(sizes.items())), targets_brute(sizes)
+        for s in sizes:
+            assert got[s] == pytest.approx(want[s], rel=1e-6, abs=1e-6)
+
+
+def test_too_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 3)
+    with pytest.raises(ValueError, match="sources"):
+        mixing.mix_sources(frame(spark, [(i, "a b", f"s{i}") for i in range(5)]))
+
+
+def test_mixing_chances():
+    """Through flight, landing and polish, documents keep about the chance they came with."""
+    rng = np.random.default_rng(42)
+    size = rng.integers(20, 400, 60)
+    taken = np.zeros(60)
+    for seed in range(600):
+        p = np.full(60, 0.4)
+        q = mixing.flight(size, p, np.random.default_rng(seed))
+        copies = mixing.polish(size, mixing.landing(size, q), float((size * p).sum()), 3.0)
+        assert abs(float((copies * size).sum()) - 0.4 * size.sum()) <= size.min()  # nearer than the smallest document
+        taken += copies
+    assert abs(taken.mean() / 600 - 0.4) < 0.02
+    assert np.abs(taken / 600 - 0.4).max() < 0.25
+
+
+def test_empty_stages(spark, empty):
+    """Every stage of an empty table is empty, with its columns; null, blank and very long texts pass through all."""
+    bench = spark.createDataFrame([(1, "some item of the benchmark that nothing holds")], "item_id long, text string")
+    stages = [quality.quality_stage, exact.exact_dedup_stage, simhash.near_dedup_stage, lambda d: decontaminate.decontaminate_stage(d, bench), mixing.mixing_stage]
+    rng = random.Random(43)
+    rows = [(1, None, None), (2, "", "s"), (3, " \n", "s"), (None, "an id that is null", "s"), (4, prose(rng, 60_000), "s"), (4, prose(rng, 30), "s")]
+    odd = frame(spark, rows + rows[-1:])
+    for stage in stages:
+        out = stage(empty)
+        assert (out.columns, out.count()) == (empty.columns, 0)
+        out = stage(odd)
+        assert out.columns == odd.columns
+        assert {r["text"] for r in out.collect()} <= {t for _, t, _ in rows}
+
+
 def test_mixing(spark, docs, empty):
     rng = random.Random(9)
     rows = corpus() + [(10_000 + i, prose(rng, rng.randint(1, 60)), "big" if i % 3 else f"s{i % 5}") for i in range(3000)]
@@ -578,6 +667,16 @@ def test_secrets(spark, docs, empty):
     assert secrets.find_secrets(empty).count() == 0
 
 
+def test_candidates():
+    """Tokens in base spans are left out, in one walk over both."""
+    rng = random.Random(44)
+    for _ in range(200):
+        text = " ".join(rng.choice(["AKIA" + "".join(rng.choices("ABC123", k=20)), "".join(rng.choices("abcdef0123456789", k=rng.randint(10, 40))), "token=" + "".join(rng.choices("xyz789", k=18)), "word", "zZ9" * 7]) for _ in range(rng.randint(0, 12)))
+        spans = secrets.base_spans(text)
+        want = [m.span() for m in secrets.CANDIDATE.finditer(text) if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]) and not any(s < m.end() and m.start() < e for s, _, _, e in spans)]
+        assert secrets.candidates(text, spans) == want
+
+
 def test_grammar():
     """An automaton tells its format from prose and from other formats, and needs no list of its strings."""
     rng = random.Random(11)
