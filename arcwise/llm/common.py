@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import uuid
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 NO_ID = -(2**63)
 #: Rows of keys and hashes that may be broadcast, after a count: at most about 64 bytes each.
 BROADCAST_ROWS = 200_000
+_RUNS: set[str] = set()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,9 +34,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder among the shared ones; it goes when the program ends with the session running, or by
+    clean(). Results that are still to be read live in it."""
+    path = f"{shared_dir(spark)}/arcwise-{spark.sparkContext.applicationId}"
+    if path not in _RUNS:
+        _RUNS.add(path)
+        atexit.register(clean, spark, path)
+    return path
+
+
+def clean(spark: SparkSession, path: str | None = None) -> None:
+    """Delete the tables that the application's operators kept."""
+    if spark.sparkContext._jsc is not None:
+        _delete(spark, path or run_dir(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: survives lost executors and cuts the plan."""
-    path = f"{shared_dir(df.sparkSession)}/arcwise-{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.kept_path = path
@@ -44,9 +67,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by keep() that no later plan reads, and let Spark clean the shuffles behind them."""
     for t in tables:
-        spark = t.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(t.kept_path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(t.sparkSession, t.kept_path)
     if tables:
         tables[0].sparkSession._jvm.System.gc()
 
