@@ -10,9 +10,8 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from arcwise.llm.common import doc_id
+from arcwise.llm.common import doc_id, drop
 from arcwise.llm.windows import Units, classified, compared, covered, repeated_windows, with_spans
 
 WINDOW = 35
@@ -23,10 +22,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     """(did, rid, start, n): runs of n windows from word `start` that occur more than once in all documents."""
     u = Units(True, window, min(k, window))
 
-    def search(seed: int) -> tuple[DataFrame, None]:
+    def search(seed: int) -> tuple[list[DataFrame], None]:
         found = classified(u, docs, seed)
         single = repeated_windows(u, docs, found.open, seed)
-        return found.same.withColumn("level", F.lit(0)).unionByName(single.withColumn("level", F.lit(1))), None
+        drop(found.open)
+        return [found.same, single], None
 
     return compared(u, docs, search)
 

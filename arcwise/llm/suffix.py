@@ -255,7 +255,7 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW, k: int = K, most: int
     """(did, rid, start, n): runs of n windows from byte `start` that occur more than once in all documents."""
     u = Units(False, window, min(k, window))
 
-    def search(seed: int) -> tuple[DataFrame, DataFrame]:
+    def search(seed: int) -> tuple[list[DataFrame], DataFrame]:
         found = classified(u, docs, seed)
         pieces = keep(slices_of(docs, found.open.where(F.col("units") <= most), window), "pieces")
         out = keep(sorted_repeats(pieces, window, most), "sorted")
@@ -263,7 +263,7 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW, k: int = K, most: int
         large = found.open.where(F.col("units") > most)
         if not large.isEmpty():
             out = out.unionByName(divided(u, slices_of(docs, large, window), most))
-        return found.same.withColumn("level", F.lit(0)), out
+        return [found.same], out
 
     return compared(u, docs, search)
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -215,19 +216,27 @@ def repeated_windows(u: Units, docs: DataFrame, spans: DataFrame, seed: int) ->
     return out
 
 
-def chains(edges: DataFrame) -> DataFrame:
+def once(docs: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges without those of rows that repeat id and text: as they are where no row does."""
+    keys = keyed(docs).select("did", "rid")
+    return edges if keys.groupBy("did", "rid").count().where("count > 1").isEmpty() else edges.distinct()
+
+
+def chains(edges: DataFrame, *sources: DataFrame) -> DataFrame:
     """(did, rid, start, n, key, digest): the occurrences of nonbranching chains of repeated edges.
 
     An edge's in-degree counts what comes before its occurrences in their documents: other repeated edges, and anything
     else - unrepeated text, a document's start - as one. Two edges hang together if each is all that ever follows or
     precedes the other. Degrees come from an aggregation over edges and reach the occurrences by a join; key and digest
     are those of the chain's first edge, so all occurrences of a chain agree in them and in n. A cycle is cut where a
-    document enters it. Edges of different kinds - paths and single windows - don't mix."""
+    document enters it. Edges of different kinds - paths and single windows - don't mix, and each is there once.
+    sources: kept tables behind the edges, which go as soon as they are read."""
     doc = Window.partitionBy("did", "rid", "level").orderBy("start")
     me = F.xxhash64("key", "digest")
     before = F.when(F.lag(F.col("start") + F.col("n")).over(doc) == F.col("start"), F.lag(me).over(doc))
     after = F.when(F.lead("start").over(doc) == F.col("start") + F.col("n"), F.lead(me).over(doc))
-    near = keep(edges.distinct().select("*", before.alias("before"), after.alias("after")), "edges")
+    near = keep(edges.select("*", before.alias("before"), after.alias("after")), "edges")
+    drop(*sources)
     single = lambda c: (F.min(c) == F.max(c)) & (F.count(c) == F.count("*"))
     degree = keep(near.groupBy("key", "digest").agg(F.coalesce(single("before"), F.lit(False)).alias("one_in"), F.coalesce(single("after"), F.lit(False)).alias("one_out")), "degrees")
     x = near.join(degree, ["key", "digest"])
@@ -266,12 +275,13 @@ def differing(u: Units, docs: DataFrame, spans: DataFrame) -> DataFrame:
     return rows.groupBy("level", "key", "digest", "n", "block").count().where("count > 1")
 
 
-def compared(u: Units, docs: DataFrame, search: Callable[[int], tuple[DataFrame, DataFrame | None]]) -> DataFrame:
-    """(did, rid, start, n): runs of repeated windows. search(seed) gives the repeated edges that digests propose, and
-    other runs whose units were already compared."""
+def compared(u: Units, docs: DataFrame, search: Callable[[int], tuple[list[DataFrame], DataFrame | None]]) -> DataFrame:
+    """(did, rid, start, n): runs of repeated windows. search(seed) gives kept tables of the repeated edges that digests
+    propose, by level, and other runs whose units were already compared."""
     for seed in SEEDS:
-        edges, more = search(seed)
-        found = chains(edges)
+        levels, more = search(seed)
+        edges = reduce(DataFrame.unionByName, [e.withColumn("level", F.lit(k)) for k, e in enumerate(levels)])
+        found = chains(once(docs, edges), *levels)
         if differing(u, docs, found).isEmpty():
             found = found.select(*PLACE)
             return found if more is None else found.unionByName(more)
