@@ -6,7 +6,7 @@ import logging
 import re
 from dataclasses import dataclass, field, replace
 
-from arcwise.schema import GapFunction
+from arcwise.schema import Algorithm, GapFunction
 
 log = logging.getLogger("arcwise")
 
@@ -55,6 +55,7 @@ class RunConfig:
     exclude_gap_time: bool = False
     initial_bush: str = "SP_TREE"
     topological_order: str = "STANDARD"
+    algorithm: str = "bush"
     given: frozenset[str] = field(default_factory=frozenset)
 
 
@@ -99,6 +100,8 @@ TAGS = {
     "INITIAL BUSH": ("initial_bush", str),
     "TOPOLOGICAL ORDER": ("topological_order", str),
 }
+#: A tag of this engine's own: the method.
+TAGS["ALGORITHM"] = ("algorithm", str)
 #: The words each choice accepts.
 DOMAINS = {
     "gap_function": {g.value for g in GapFunction},
@@ -106,6 +109,7 @@ DOMAINS = {
     "link_cost_update": {"EXACT", "LINEAR", "NONE"},
     "initial_bush": {"SP_TREE"},
     "topological_order": {"STANDARD"},
+    "algorithm": {a.value for a in Algorithm},
 }
 
 

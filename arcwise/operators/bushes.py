@@ -118,3 +118,17 @@ def path_flows(bush: DataFrame, demand: DataFrame, max_len: int = 10_000) -> Dat
 def same_paths(a: DataFrame, b: DataFrame) -> DataFrame:
     """Paths both sets have (equal node sequences)."""
     return a.select("class_id", "nodes").intersect(b.select("class_id", "nodes"))
+
+
+def add_paths(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The paths of either set, each once, with the flows of both together."""
+    keys = ["class_id", "origin", "dest", "nodes"]
+    return a.select(*keys, "flow").unionByName(b.select(*keys, "flow")).groupBy(*keys).agg(F.sum("flow").alias("flow"))
+
+
+def described(bush: DataFrame) -> DataFrame:
+    """(class_id, origin, topo_pos, line): a bush as text, a line a node in topological order, with its approaches and
+    their flows (nodes from 1, as in files)."""
+    one = F.struct("arc_id", F.format_string("%d (%.6f)", F.col("tail") + 1, F.col("approach_flow")).alias("says"))
+    by = bush.groupBy("class_id", "origin", "head").agg(F.min("topo_pos").alias("topo_pos"), F.sort_array(F.collect_list(one)).alias("a"))
+    return by.select("class_id", "origin", "topo_pos", F.concat(F.col("head") + 1, F.lit(" from "), F.array_join(F.col("a.says"), ", ")).alias("line"))

@@ -158,6 +158,24 @@ def topological_order(g: Graph, arcs, origin: int | None = None) -> list[int]:
 # ---- bushes: one acyclic subnetwork per origin ------------------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class ShiftRules:
+    """How the flows of a bush move. update: how link costs follow a shift within a pass - EXACT, LINEAR by the
+    derivative, or NONE; the next pass starts from exact costs in any case."""
+
+    floor: float = 1e-6
+    min_flow: float = 1e-14
+    step: float = 1.0
+    newton_shifts: int = 1
+    repetitions: int = 1
+    rescan: bool = False
+    least_difference: float = 0.0
+    least_flow: float = 0.0
+    rest_gap: float = 0.0
+    rest_excess: float = 0.0
+    update: str = "EXACT"
+
+
 class Bush:
     """Links an origin may use, their flows (`x`, by arc) and a topological order."""
 
@@ -203,32 +221,72 @@ class Bush:
         self.set_arcs(keep | added)
         return bool(added)
 
-    def shift(self, cost_of, der_of, total, floor: float = 1e-6, min_flow: float = 1e-14, step: float = 1.0) -> float:
+    def rests(self, cost, labels, rules: ShiftRules, dests, trips) -> bool:
+        """Whether the bush is so near equilibrium that its turn is left to others: its widest difference of labels, or
+        its excess cost as a share of its shortest total, lies below the rules' bounds."""
+        sp, lp, _, _ = labels
+        with np.errstate(invalid="ignore"):
+            widest = np.nanmax(np.where(np.isfinite(lp) & np.isfinite(sp), np.abs(lp - sp), 0.0))
+        if widest < rules.rest_gap:
+            return True
+        used = np.flatnonzero(self.x > 0)
+        excess = float((self.x[used] * (cost[used] + sp[self.g.tail[used]] - sp[self.g.head[used]])).sum())
+        total = float((trips * sp[dests]).sum())
+        return total > 0 and excess / total < rules.rest_excess
+
+    def turn(self, cost_of, der_of, total, rules: ShiftRules, dests, trips) -> float | None:
+        """One origin's turn: labels, then as many passes of shifts as the rules say. Returns the flow moved, or None if
+        the bush rests."""
+        moved, labels = 0.0, None
+        for k in range(rules.repetitions):
+            if labels is None or rules.rescan:
+                cost = cost_of(total)
+                labels = self.scan(cost, "used", rules.min_flow)
+                if self.rests(cost, labels, rules, dests, trips):
+                    return moved if k else None
+            moved += self.shift(cost_of, der_of, total, rules, labels)
+        return moved
+
+    def shift(self, cost_of, der_of, total, rules: ShiftRules, labels=None) -> float:
         """One descending pass of Newton shifts from the longest used to the shortest segment at each merge node.
         `total` (link flows of all bushes) is changed with the bush's own. Returns the sum of |shift|."""
         time, der = cost_of(total), der_of(total)
-        sp, lp, sa, la = self.scan(time, "used", min_flow)
+        sp, lp, sa, la = self.scan(time, "used", rules.min_flow) if labels is None else labels
         moved = 0.0
         for v in reversed(self.order):
-            if len(self.into.get(v, ())) < 2 or la[v] < 0 or sa[v] == la[v]:
+            into = self.into.get(v, ())
+            if len(into) < 2 or la[v] < 0 or sa[v] == la[v]:
+                continue
+            if abs(lp[v] - sp[v]) < rules.least_difference or self.x[into].sum() < rules.least_flow:
                 continue
             short, long_ = self._segments(v, sa, la)
             if not short or not long_:
                 continue
-            diff = time[long_].sum() - time[short].sum()
-            if diff <= 0:
-                continue
-            d = min(step * diff / max(der[long_].sum() + der[short].sum(), floor), self.x[long_].min())
-            if d <= 0:
-                continue
-            for arcs, s in ((long_, -d), (short, d)):
-                self.x[arcs] += s
-                total[arcs] += s
-                self.x[arcs] = np.maximum(self.x[arcs], 0.0)
-                time[arcs], der[arcs] = cost_of(total, arcs), der_of(total, arcs)
-            moved += d
+            for _ in range(rules.newton_shifts):
+                diff = time[long_].sum() - time[short].sum()
+                if diff <= 0:
+                    break
+                d = min(rules.step * diff / max(der[long_].sum() + der[short].sum(), rules.floor), self.x[long_].min())
+                if d <= 0:
+                    break
+                for arcs, s in ((long_, -d), (short, d)):
+                    self.x[arcs] += s
+                    total[arcs] += s
+                    self.x[arcs] = np.maximum(self.x[arcs], 0.0)
+                    if rules.update == "EXACT":
+                        time[arcs], der[arcs] = cost_of(total, arcs), der_of(total, arcs)
+                    elif rules.update == "LINEAR":
+                        time[arcs] += s * der[arcs]
+                moved += d
         return moved
 
+    def excess(self, cost, dests, min_flow: float = 1e-14) -> float:
+        """The largest difference of longest used and shortest cost over the destinations."""
+        _, lp, _, _ = self.scan(cost, "used", min_flow)
+        label = shortest(self.g, cost, self.origin)[0]
+        d = lp[dests] - label[dests]
+        return float(max([0.0, *d[np.isfinite(d)]]))
+
     def _segments(self, v, sa, la):
         """Arcs of the two trees from v back to their last common node."""
         seen, a, chain = {v: 0}, v, []

@@ -515,7 +515,7 @@ def _equilibrium(name: str, **cfg):
     @query(name)
     def q(spark, d):
         b = Base(spark, d)
-        r = S.solve(b.net, b.demand, S.SolverConfig.preset(name.split("_")[0], **cfg))
+        r = S.solve(b.net, b.demand, S.SolverConfig.preset(name.removesuffix("_equilibrium"), **cfg))
         x, _ = b.tables(r.flow)
         return x.select(*ids(x, arc_id="arc_id"), r4(F.col("flow"), "flow"), r4(F.col("time_cost"), "time_cost"))
 
@@ -527,6 +527,15 @@ _equilibrium("bfw_equilibrium", max_iterations=10)
 _equilibrium("bush_equilibrium", max_iterations=40, gap=1e-9)
 
 
+@query("bush_distributed_equilibrium")
+def q_distributed(spark, d):
+    """Origins in four blocks that move in parallel."""
+    b = Base(spark, d)
+    r = S.bush_distributed(b.net, b.demand, S.SolverConfig.preset("bush", max_iterations=12, gap=1e-7), blocks=4)
+    x, _ = b.tables(r.flow)
+    return x.select(*ids(x, arc_id="arc_id"), r4(F.col("flow"), "flow"), r4(F.col("time_cost"), "time_cost"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """All-or-nothing flow per link."""
     return q_aon(spark, d)

@@ -1,7 +1,7 @@
 """A network derived from star-schema tables: nations are nodes with four out-links each, order lines are trips.
 
 Capacities come from what suppliers ship, demand from supplier nation to customer nation; class 0 holds returned
-lines, class 1 the rest. lineitem joins nation-sized sides, so its partial sums are all that is shuffled."""
+lines, class 1 the rest."""
 
 from __future__ import annotations
 
@@ -48,11 +48,12 @@ def net_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def net_demand(spark: SparkSession, d: str) -> DataFrame:
-    """(class_id, origin, dest, trips). Lines are first summed by (order, supplier, class)."""
+    """(class_id, origin, dest, trips). The nations of suppliers and customers go to lines and orders first, so the one
+    large join moves four narrow columns, and its result is summed by nation pair on the map side."""
     cls = F.when(F.col("l_returnflag") == "R", 0).otherwise(1).alias("class_id")
-    item = table(spark, d, "lineitem").groupBy("l_orderkey", "l_suppkey", cls).agg(F.sum("l_quantity").alias("q"))
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    cust = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("dest"))
     sup = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("origin"))
-    x = item.join(orders, "l_orderkey").join(cust, "o_custkey").join(sup, "l_suppkey")
-    return x.where("origin <> dest").groupBy("class_id", "origin", "dest").agg(F.sum("q").alias("trips"))
+    item = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", cls, "l_quantity").join(sup, "l_suppkey").drop("l_suppkey")
+    cust = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("dest"))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").join(cust, "o_custkey").drop("o_custkey")
+    x = item.join(orders, "l_orderkey").where("origin <> dest")
+    return x.groupBy("class_id", "origin", "dest").agg(F.sum("l_quantity").alias("trips"))

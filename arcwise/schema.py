@@ -35,6 +35,7 @@ class Algorithm(str, Enum):
     CFW = "cfw"
     BFW = "bfw"
     BUSH = "bush"
+    BUSH_DISTRIBUTED = "bush_distributed"
 
 
 @dataclass(frozen=True)

@@ -17,6 +17,7 @@ from arcwise.operators import kernels as K
 from arcwise.plans import solver as S
 from arcwise.sources import sinks, tntp
 
+#: Braess's example of 1968: four nodes, five links, closed-form equilibrium.
 BRAESS = """<NUMBER OF ZONES> 4
 <NUMBER OF NODES> 4
 <FIRST THRU NODE> 1
@@ -290,3 +291,126 @@ def test_state_helpers(spark):
         sinks.with_batch(df, 5, 3, strict=True)
     x = assign.origin_index(df, 5)
     assert x.where("node_back <> origin or class_back <> class_id").count() == 0
+
+
+def grid(spark, side=5, seed=1):
+    """A street grid with curved costs and demand between random nodes, and its solver input."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(side * side):
+        for j in (i + 1 if (i + 1) % side else -1, i + side):
+            for a, b in ((i, j), (j, i)) if 0 <= j < side * side else ():
+                rows.append((len(rows), a, b, rng.uniform(50, 150), 1.0, rng.uniform(1, 3), 0.15, 4.0, 60.0, 0.0, 1, "quartic", False))
+    trips = [(c, o, d, rng.uniform(5, 20)) for c in range(2) for o in rng.sample(range(side * side), 8) for d in rng.sample(range(side * side), 5) if o != d]
+    links, demand = spark.createDataFrame(rows, tntp.LINKS), spark.createDataFrame(trips, tntp.TRIPS)
+    classes = spark.createDataFrame([(0, 0.0, 0.0), (1, 0.0, 0.1)], "class_id int, toll_factor double, distance_factor double")
+    return links, demand, S.Network.of(links, classes, demand, 0, side * side)
+
+
+@pytest.fixture(scope="module")
+def town(spark):
+    _, demand, net = grid(spark)
+    return net, demand.cache()
+
+
+def test_methods_agree(town):
+    """One task, one block and blocks in parallel come to one objective, which the biconjugate method nears from above."""
+    net, demand = town
+    cfg = S.SolverConfig.preset("bush", max_iterations=40, gap=1e-9)
+    best = S.bush_equilibrium(net, demand, cfg)
+    low = best.iterations[-1][2]
+    one = S.bush_distributed(net, demand, cfg)
+    four = S.bush_distributed(net, demand, S.SolverConfig.preset("bush", max_iterations=40, gap=1e-6), blocks=4)
+    assert best.iterations[-1][1] <= 1e-9 and one.iterations[-1][1] <= 1e-9
+    assert one.iterations[-1][2] == pytest.approx(low, rel=1e-8)
+    assert four.iterations[-1][2] == pytest.approx(low, rel=1e-5)
+    assert [x[2] for x in four.iterations] == sorted((x[2] for x in four.iterations), reverse=True)
+    bfw = S.convex_combinations(net, demand, S.SolverConfig.preset("bfw", max_iterations=60, gap=1e-5))
+    assert low - 1e-6 * low <= bfw.iterations[-1][2] <= low * (1 + 1e-5)
+    for r in (best, four):
+        assert bushes.balance(r.bushes, demand).agg(F.max(F.abs("balance"))).first()[0] < 1e-6
+    again = S.bush_distributed(net, demand, S.SolverConfig.preset("bush", max_iterations=0), four.bushes, blocks=3)
+    assert np.allclose(again.flow, four.flow, atol=1e-6)
+
+
+@pytest.mark.parametrize("name", ["RELATIVE GAP", "RELATIVE GAP 2", "AVERAGE EXCESS COST", "MAXIMUM EXCESS COST"])
+def test_gap_functions(town, name):
+    """Each gap is what its name says, and bush methods stop by it."""
+    net, demand = town
+    total = demand.agg(F.sum("trips")).first()[0]
+    cfg = S.SolverConfig.preset("bush", gap_function=name, gap=1e-3, max_iterations=30)
+    for r in (S.bush_equilibrium(net, demand, cfg), S.bush_distributed(net, demand, cfg, blocks=2)):
+        assert r.iterations[-1][1] <= 1e-3 < r.iterations[0][1]
+        bound = -math.inf
+        for _, gap, objective, tstt, sptt, _ in r.iterations:
+            bound = max(bound, objective + sptt - tstt)
+            want = {"RELATIVE GAP": tstt / sptt - 1, "RELATIVE GAP 2": objective / bound - 1, "AVERAGE EXCESS COST": (tstt - sptt) / total}.get(name)
+            assert gap >= 0 if want is None else gap == pytest.approx(want, abs=1e-12)
+    if name == "MAXIMUM EXCESS COST":
+        with pytest.raises(ValueError, match="bush"):
+            S.convex_combinations(net, demand, cfg)
+
+
+def test_run_settings(town, caplog):
+    """Every setting of the shifts changes what a run does, as its name says."""
+    net, demand = town
+
+    def objectives(passes=1, inner=0, text="", **other):
+        cfg = app.solver_config(parse_config(f"<NETWORK FILE> a\n<TRIPS FILE> b\n<MAX ITERATIONS> {passes}\n<INNER ITERATIONS> {inner}\n{text}"))
+        return [x[2] for x in S.bush_equilibrium(net, demand, S.SolverConfig(**(cfg.__dict__ | other))).iterations]
+
+    first, plain = objectives()
+    assert plain < first
+    for still in ("<MIN COST DIFFERENCE> 1e9", "<MIN LINK FLOW SHIFT> 1e9", "<THRESHOLD GAP> 1e9", "<THRESHOLD AEC> 1e9", "<NEWTON SHIFTS> 0", "<SHIFT REPETITIONS> 0"):
+        assert objectives(text=still) == [first, first], still
+    a, b, c = objectives(2, text="<THRESHOLD AEC> 1e9")  # holds for the first pass; later ones follow the gap
+    assert (a, b) == (first, first) and c < b
+    assert objectives(2, threshold_share=1e9)[1:] == [plain, plain]
+    assert plain < objectives(text="<NEWTON STEP> 0.1")[1] < first
+    end = objectives(40, 20)[-1]
+    seen = {plain}
+    for more in ("<NEWTON SHIFTS> 3", "<SHIFT REPETITIONS> 3", "<SHIFT REPETITIONS> 3\n<RESCAN AFTER SHIFT>", "<LINK COST UPDATE> LINEAR", "<LINK COST UPDATE> NONE", "<NEWTON STEP> 0.5"):
+        got = objectives(text=more)[1]
+        assert got not in seen, more
+        seen.add(got)
+        if "NONE" not in more:
+            assert objectives(40, 20, more)[-1] == pytest.approx(end, rel=1e-6), more
+    assert len(objectives(50, 20, "<MAX RUN TIME> 0")) == 1
+    assert len(objectives(3, 0, "<MAX RUN TIME> 1e9\n<EXCLUDE GAP TIME>")) == 4
+    caplog.clear()
+    objectives(text="<NUMBER OF THREADS> 4\n<SHORTEST PATH QUEUE DISCIPLINE> FIFO\n<REUSE FIRST BUSH>\n<MIN REDUCED COST> 1")
+    assert len([r for r in caplog.records if "no effect" in r.message]) == 4
+    cfg = parse_config("<NETWORK FILE> a\n<TRIPS FILE> b\n<MAX ITERATIONS> 1\n<ALGORITHM> bfw")
+    assert app.solver_config(cfg).algorithm == "bfw"
+
+
+def test_short_of_the_gap(town, caplog):
+    net, demand = town
+    caplog.set_level(logging.INFO, "arcwise")
+    S.bush_equilibrium(net, demand, S.SolverConfig.preset("bush", max_iterations=1, gap=1e-12))
+    assert "stopped after 1 passes" in caplog.text and "pass 0: gap" in caplog.text
+    with pytest.raises(ArithmeticError):
+        S.shifted(np.array([1.0]), np.array([-3.0]), 1.0)
+    assert S.shifted(np.array([1.0]), np.array([-1.0 - 1e-12]), 1.0).tolist() == [0.0]
+
+
+def test_conjugacy_warning(town, caplog):
+    """Directions are conjugate but where their weight hits a bound, and a warning tells where."""
+    net, demand = town
+    warned = []
+    for tolerance in (-1.0, 1e-3):
+        caplog.clear()
+        S.convex_combinations(net, demand, S.SolverConfig.preset("cfw", max_iterations=8, conjugacy_tolerance=tolerance))
+        warned.append({r.message[:7] for r in caplog.records if "not conjugate" in r.message})
+    assert len(warned[0]) >= 4
+    assert warned[1] < warned[0]
+
+
+def test_path_sets_and_dump(spark):
+    schema = "class_id int, origin int, dest int, nodes array<int>, flow double"
+    a = spark.createDataFrame([(0, 1, 3, [1, 2, 3], 2.0)], schema)
+    b = spark.createDataFrame([(0, 1, 3, [1, 2, 3], 1.0), (0, 1, 3, [1, 3], 4.0)], schema)
+    assert {(tuple(r["nodes"]), r["flow"]) for r in bushes.add_paths(a, b).collect()} == {((1, 2, 3), 3.0), ((1, 3), 4.0)}
+    rows = [(0, 0, 0, 0, 1, 2.0, 1), (0, 0, 1, 0, 2, 1.0, 2), (0, 0, 2, 1, 2, 2.0, 2)]
+    bush = spark.createDataFrame(rows, "class_id int, origin int, arc_id int, tail int, head int, approach_flow double, topo_pos int")
+    assert [r["line"] for r in bushes.described(bush).orderBy("topo_pos").collect()] == ["2 from 1 (2.000000)", "3 from 1 (1.000000), 2 (2.000000)"]
