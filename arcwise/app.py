@@ -67,6 +67,7 @@ def run(spark: SparkSession, cfg: RunConfig) -> dict:
     """Solve and write; returns the totals."""
     meta, links = tntp.read_network(spark, cfg.file_path + cfg.network)
     heads, demand = tntp.read_trips(spark, [cfg.file_path + t for t in cfg.trips], cfg.demand_multiplier, meta.zones)
+    demand = demand.checkpoint()  # parsed once
     classes = tntp.class_factors(spark, meta, heads)
     links = repaired(spark, meta, links)
     views(links, demand, classes)

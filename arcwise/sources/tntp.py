@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import logging
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,14 +125,38 @@ def read_network(spark: SparkSession, path: str) -> tuple[NetworkMeta, DataFrame
     return meta, spark.createDataFrame(rows, LINKS)
 
 
+HEADER_LINES = 1000
+
+
+def read_header(spark: SparkSession, path: str) -> dict[str, str]:
+    """The metadata at a file's start; its body stays where it is."""
+    lines = [r[0] for r in spark.read.text(path).limit(HEADER_LINES).collect()]
+    if not any((m := metadata(line)) and m[0] == "END OF METADATA" for line in lines):
+        raise FormatError(f"no end of metadata in the first {HEADER_LINES} lines of {path}")
+    return split_header("\n".join(lines))[0]
+
+
 def read_trips(spark: SparkSession, paths: list[str], multiplier: float = 1.0, zones: int | None = None, strict_semicolons: bool = False) -> tuple[list[dict], DataFrame]:
-    """Headers and demand of one file per class. Rows without demand are left out."""
-    heads, out = [], []
-    for c, path in enumerate(paths):
-        head, rows = parse_trips(read_text(spark, path), c, multiplier, zones, strict_semicolons)
-        heads.append(head)
-        out += [r for r in rows if r[3] > 0]
-    return heads, spark.createDataFrame(out, TRIPS)
+    """Headers and demand of one file per class. Rows without demand are left out. Each file's body is parsed in a task
+    of its own, so the driver holds headers only; a row that breaks the format fails the first action."""
+
+    def reader(class_id: int):
+        def parse(frames):
+            import pandas as pd
+
+            for f in frames:
+                for text in f["value"]:
+                    rows = [r for r in parse_trips(text, class_id, multiplier, zones, strict_semicolons)[1] if r[3] > 0]
+                    for i in range(0, len(rows), 100_000):
+                        yield pd.DataFrame(rows[i : i + 100_000], columns=["class_id", "origin", "dest", "trips"])
+
+        return parse
+
+    heads = [read_header(spark, path) for path in paths]
+    if zones is not None and any(int(h.get("NUMBER OF ZONES", zones)) != zones for h in heads):
+        raise FormatError("a trips file has another number of zones than the network")
+    parts = [spark.read.text(path, wholetext=True).mapInPandas(reader(c), TRIPS) for c, path in enumerate(paths)]
+    return heads, reduce(DataFrame.unionByName, parts)
 
 
 def class_factors(spark: SparkSession, meta: NetworkMeta, heads: list[dict]) -> DataFrame:

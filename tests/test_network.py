@@ -414,3 +414,35 @@ def test_path_sets_and_dump(spark):
     rows = [(0, 0, 0, 0, 1, 2.0, 1), (0, 0, 1, 0, 2, 1.0, 2), (0, 0, 2, 1, 2, 2.0, 2)]
     bush = spark.createDataFrame(rows, "class_id int, origin int, arc_id int, tail int, head int, approach_flow double, topo_pos int")
     assert [r["line"] for r in bushes.described(bush).orderBy("topo_pos").collect()] == ["2 from 1 (2.000000)", "3 from 1 (1.000000), 2 (2.000000)"]
+
+
+def test_path_flows_of_an_equilibrium(town):
+    """Path flows of split bushes carry all demand, and over each link they sum to its flow."""
+    net, demand = town
+    r = S.bush_equilibrium(net, demand, S.SolverConfig.preset("bush", max_iterations=8, gap=1e-6))
+    got = bushes.path_flows(r.bushes.where("approach_flow > 0"), demand).collect()
+    arc = {(t, h): a for a, (t, h) in enumerate(zip(net.g.tail.tolist(), net.g.head.tolist(), strict=True))}
+    pairs, flow = {}, np.zeros_like(r.flow)
+    for p in got:
+        assert (p["nodes"][0], p["nodes"][-1]) == (p["origin"], p["dest"]) and len(set(p["nodes"])) == len(p["nodes"])
+        k = (p["class_id"], p["origin"], p["dest"])
+        pairs[k] = pairs.get(k, 0.0) + p["flow"]
+        for a, b in zip(p["nodes"], p["nodes"][1:], strict=False):
+            flow[p["class_id"], arc[a, b]] += p["flow"]
+    assert pairs == pytest.approx({(d["class_id"], d["origin"], d["dest"]): d["trips"] for d in demand.collect()})
+    assert len(got) > len(pairs)  # some pairs use several paths
+    assert np.allclose(flow, r.flow, atol=1e-6)
+
+
+def test_trips_files(spark, tmp_path):
+    """Bodies are parsed by tasks; headers, order of classes and errors are as with the text parser."""
+    (tmp_path / "a").write_text(TRIPS)
+    (tmp_path / "b").write_text(TRIPS.replace("4 : 6", "4 : 2; 3 : 0").replace("<TOTAL OD FLOW> 6", "<TOLL FACTOR> 3"))
+    heads, demand = tntp.read_trips(spark, [str(tmp_path / "a"), str(tmp_path / "b")], 2.0, 4)
+    assert sorted(tuple(r) for r in demand.collect()) == [(0, 0, 3, 12.0), (1, 0, 3, 4.0)]
+    assert heads[1]["TOLL FACTOR"] == "3"
+    with pytest.raises(tntp.FormatError, match="zones"):
+        tntp.read_trips(spark, [str(tmp_path / "a")], 1.0, 5)
+    (tmp_path / "c").write_text("no header\n1 : 2;\n")
+    with pytest.raises(tntp.FormatError, match="metadata"):
+        tntp.read_trips(spark, [str(tmp_path / "c")])
