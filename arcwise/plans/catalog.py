@@ -12,6 +12,7 @@ from arcwise.functions import metrics as M
 from arcwise.operators import assign, bushes, graph
 from arcwise.plans import derived as D
 from arcwise.plans import solver as S
+from arcwise.schema import DEMAND
 from arcwise.sources import sinks, tntp
 
 NET = """sup AS (SELECT s_nationkey n, sum(l_quantity) q FROM lineitem JOIN supplier ON l_suppkey=s_suppkey GROUP BY 1),
@@ -73,7 +74,13 @@ class Base:
 
     def __init__(self, spark: SparkSession, d: str):
         self.spark = spark
-        self.links, self.demand, self.classes = D.net_links(spark, d), D.net_demand(spark, d).cache(), D.classes(spark)
+        self.links, self.classes = D.net_links(spark, d), D.classes(spark)
+        # a row per pair of nations and class, so a cache that nothing ever frees isn't needed
+        most = D.ZONES * D.ZONES * len(D.CLASS_FACTORS)
+        rows = D.net_demand(spark, d).limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError("more nations than the network has nodes")
+        self.demand = spark.createDataFrame(rows, DEMAND)
         self.net = S.Network.of(self.links, self.classes, self.demand, 0, D.ZONES)
         self.g, self.ids = self.net.g, self.net.rows["arc_id"].to_numpy()
         self.links = spark.createDataFrame(self.net.rows)  # at most a row per road link, already on the driver
