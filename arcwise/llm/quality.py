@@ -18,6 +18,12 @@ from arcwise.llm.common import TABLES, U, chunks, doc_id, keep, keyed, mix, rest
 
 #: Documents whose posteriors train the scorer: a bound on what reaches the driver, not on what is scored.
 TRAIN_ROWS = 4000
+#: Labelled documents, at most, that beginnings of insults are learned from.
+LABEL_ROWS = 4000
+#: Toxic documents, and their share, that must hold a beginning of this many letters; how much more often, in documents
+#: and as a share of words, toxic documents must hold it than others.
+STEM_DOCS, STEM_SHARE, STEM_LETTERS = 5, 0.02, (4, 10)
+STEM_DOC_RATIO, STEM_WORD_RATIO = 4, 20
 BUCKETS = 1 << 12
 LABELLERS = ("repeats", "capitals", "symbols", "fragments", "variety", "prose", "echo")
 
@@ -49,25 +55,104 @@ LEXICON = "|".join(STRONG + MILD)
 INSULT = re.compile(rf"\b(?:(?P<strong>{'|'.join(STRONG)})|{'|'.join(MILD)})\w*")
 
 
-def abusive(column) -> np.ndarray:
+WORD = re.compile(r"[^\W\d_]+")
+
+
+def abusive(column, stems: tuple[str, ...] = ()) -> np.ndarray:
     """Per text of an Arrow string column: whether it has insults, one in 300 words at least, that are two different ones
     or two with a strong one among them; or a strong one in at most 100 words. A mild one, also if repeated, or a few in
-    a long text are no abuse."""
+    a long text are no abuse. So are two words that begin with learned stems, one in 300 at least."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
     out = np.zeros(len(column), bool)
-    may = pc.match_substring_regex(column.cast(pa.large_string()), LEXICON, ignore_case=True)
+    may = pc.match_substring_regex(column.cast(pa.large_string()), "|".join((LEXICON, *stems)), ignore_case=True)
+    learned = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(stems)})") if stems else None
     for i in np.flatnonzero(may.fill_null(False).to_numpy(zero_copy_only=False)):
         text = column[int(i)].as_py().lower()
         found = [(m[0], m["strong"] is not None) for m in INSULT.finditer(text)]
-        if found:
+        marked = sum(1 for _ in learned.finditer(text)) if learned else 0
+        if found or marked > 1:
             n, strong = len(text.split()), any(s for _, s in found)
             several = len(found) > 1 and (strong or len({w for w, _ in found}) > 1)
-            out[i] = several and 300 * len(found) >= n or strong and n <= 100
+            out[i] = several and 300 * len(found) >= n or strong and n <= 100 or marked > 1 and 300 * marked >= n
     return out
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = LABEL_ROWS) -> DataFrame:
+    """(did, toxic, text) of the labelled documents with the smallest hashes of their ids, at most `rows`, one text an id.
+    Rows without an id or label are left out; an id with several labels is toxic if one says so."""
+    toxic = (F.col("toxic").cast("int") > 0).alias("toxic")
+    ids = labels.select(F.col("doc_id").cast("long").alias("did"), toxic).dropna().groupBy("did").agg(F.max("toxic").alias("toxic"))
+    ids = ids.orderBy(F.xxhash64("did", F.lit(5)), "did").limit(rows)
+    return keyed(docs).join(F.broadcast(ids), "did").groupBy("did", "toxic").agg(F.min("text").alias("text"))
+
+
+def sketch(h: np.ndarray) -> int:
+    """The smallest hash of five words in a row: near copies mostly share it, other texts don't."""
+    k = min(5, len(h))
+    return int(mix(sum(h[i : len(h) - k + 1 + i] * U(2 * i + 1) for i in range(k))).min().astype(np.int64)) if k else 0
+
+
+def beginnings(text: str, among: frozenset | None = None) -> dict[str, float]:
+    """The beginnings of the text's words, as shares of its words; only those in `among`, if given."""
+    words = WORD.findall(text.lower())
+    seen: dict[str, float] = {}
+    for w in words:
+        for k in range(STEM_LETTERS[0], min(STEM_LETTERS[1], len(w)) + 1):
+            if among is None or w[:k] in among:
+                seen[w[:k]] = seen.get(w[:k], 0.0) + 1 / len(words)
+    return seen
+
+
+def counted(sample: DataFrame, among: frozenset | None = None) -> DataFrame:
+    """(stem, docs, share): documents that hold a beginning, and the sum of its shares of their words."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = [beginnings(t, among).items() for t in b.column("text").to_pylist()]
+            stems, shares = [p for r in rows for p, _ in r], [v for r in rows for _, v in r]
+            yield pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), pa.array(shares, pa.float64())], ["stem", "share"])
+
+    return sample.select("text").mapInArrow(run, "stem string, share double").groupBy("stem").agg(F.count("*").alias("docs"), F.sum("share").alias("share"))
+
+
+def learned_stems(docs: DataFrame, labels: DataFrame, rows: int = LABEL_ROWS) -> tuple[str, ...]:
+    """Beginnings of words that mark toxic documents, the shortest ones that do, from a sample of labelled documents in
+    which near copies count once. Counts run in tasks. The driver gets beginnings that STEM_SHARE of the sample's toxic
+    documents hold, so at most 1 / STEM_SHARE times those of one mean document. Few labels teach nothing."""
+
+    def near(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            got = []
+            for _, buf, starts in chunks(b.column("text")):
+                first, end, marks = words_of(buf, starts)
+                h = word_hashes(buf, first, end)
+                got += [sketch(h[marks[i] : marks[i + 1]]) for i in range(len(starts))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.int64())], ["did", "toxic", "text", "near"])
+
+    sample = keep(labelled_sample(docs, labels, rows).mapInArrow(near, "did long, toxic boolean, text string, near long"), "labelled")
+    one = sample.groupBy("near").agg(F.min("did").alias("did")).select("did")
+    sample = sample.join(F.broadcast(one), "did", "left_semi")
+    n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    nt, nc = n.get(True, 0), n.get(False, 0)
+    enough = max(STEM_DOCS, STEM_SHARE * nt)
+    if nt < enough or not nc:
+        return ()
+    toxic = {r["stem"]: r for r in counted(sample.where("toxic")).where(F.col("docs") >= enough).collect()}
+    clean = {r["stem"]: (r["docs"], r["share"]) for r in counted(sample.where("not toxic"), frozenset(toxic)).collect()}
+    marks = set()
+    for stem, r in toxic.items():
+        d, share = clean.get(stem, (0, 0.0))
+        if r["docs"] * nc >= STEM_DOC_RATIO * (d + 1) * nt and r["share"] * nc >= STEM_WORD_RATIO * share * nt:
+            marks.add(stem)
+    return tuple(sorted(p for p in marks if not any(p[:k] in marks for k in range(STEM_LETTERS[0], len(p)))))
+
+
 def statistics(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list]:
     """Per text: words, share of words like the one before, of distinct words, upper-case letters, symbols among the
     bytes, words that end in a symbol or stand alone as one, sentence ends a word, words like one of the three before.
@@ -181,9 +266,9 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 300) -> tuple[np.ndarray,
 DESCRIBED = "did long, rid long, pattern long, words long, abusive boolean, f array<short>, v array<float>"
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """(did, rid, pattern, words, abusive, f, v): every document's vote pattern, word count, verdict of the lexicon, and
-    summed hashed features (bucket, value)."""
+def described(docs: DataFrame, stems: tuple[str, ...] = ()) -> DataFrame:
+    """(did, rid, pattern, words, abusive, f, v): every document's vote pattern, word count, verdict of the lexicon with
+    the learned stems, and summed hashed features (bucket, value)."""
 
     def run(batches):
         import pyarrow as pa
@@ -200,7 +285,7 @@ def described(docs: DataFrame) -> DataFrame:
                 f += np.split((at % BUCKETS).astype(np.int16), part)
                 v += np.split(x[at].astype(np.float32), part)
             flat = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in (votes_, words)]
-            cols = [b.column("did"), b.column("rid"), *flat, pa.array(abusive(b.column("text"))), pa.array(f, pa.list_(pa.int16())), pa.array(v, pa.list_(pa.float32()))]
+            cols = [b.column("did"), b.column("rid"), *flat, pa.array(abusive(b.column("text"), stems)), pa.array(f, pa.list_(pa.int16())), pa.array(v, pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays(cols, ["did", "rid", "pattern", "words", "abusive", "f", "v"])
 
     return keyed(docs).mapInArrow(run, DESCRIBED)
@@ -222,13 +307,15 @@ def fit(table: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, flo
     return *train(x, model.posterior(each(got["pattern"]))), model
 
 
-def quality_scores(docs: DataFrame, threshold: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame | None = None, threshold: float = 0.5, train_rows: int = TRAIN_ROWS, label_rows: int = LABEL_ROWS) -> DataFrame:
     """One row per document: did, rid, doc_id, score (probability of good), keep (score at or above the threshold).
 
+    labels: (doc_id, toxic) of some documents; insults are learned from at most `label_rows` of them, and their labels
+    serve for nothing else. Without any, or with an empty table, the fixed lexicon alone tells abuse.
     Null, empty and blank texts have no words, no votes and are rejected with score 0, as are abusive ones. Very long
     texts are described whole. Equal texts score equally; repeated rows are returned each; a null doc_id is an id like
     others; extra columns are ignored; an empty table gives an empty result."""
-    table = keep(described(docs), "described")
+    table = keep(described(docs, learned_stems(docs, labels, label_rows) if labels is not None else ()), "described")
     w, b, _ = fit(table, train_rows)
 
     def run(batches):
@@ -246,7 +333,7 @@ def quality_scores(docs: DataFrame, threshold: float = 0.5, train_rows: int = TR
     return out.select("did", "rid", doc_id(), "score", (F.col("score") >= threshold).alias("keep"))
 
 
-def quality_stage(docs: DataFrame) -> DataFrame:
+def quality_stage(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """The documents that the classifier keeps, with all their columns and repeats. Null, empty and blank texts go; an
     empty table stays empty."""
-    return restrict(docs, keep(quality_scores(docs).where("keep").select("did", "rid").distinct(), "kept"))
+    return restrict(docs, keep(quality_scores(docs, labels).where("keep").select("did", "rid").distinct(), "kept"))

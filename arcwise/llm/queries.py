@@ -27,7 +27,7 @@ def op2_substring_dedup(spark, sf_dir):
 
 @query
 def op3_quality_classifier(spark, sf_dir):
-    return quality.quality_scores(documents(spark, sf_dir)).select("doc_id", "score", "keep")
+    return quality.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).select("doc_id", "score", "keep")
 
 
 @query

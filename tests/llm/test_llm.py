@@ -328,6 +328,34 @@ def test_quality_abuse(spark):
     assert not {r["doc_id"] for r in stage.collect()} & {i for i, *_ in bad}
 
 
+def test_quality_learned_abuse(spark, empty):
+    """Invented insults are learned from some labelled rows and found in rows that the sample doesn't hold; clean rows,
+    and words of one text in many copies, are left alone. Labels with nulls, conflicts, repeats and other columns do."""
+    rng = random.Random(51)
+    line = lambda: ". ".join(prose(rng, 9).replace(".", "").replace(",", "").capitalize() for _ in range(8)) + "."
+    stems = ["brúxen", "qovlar", "zzedri"]
+    insult = lambda i: f"{line()} Du {stems[i % 3]}{rng.choice(['ta', 'mo', 'li', ''])}, {stems[(i + 1) % 3].capitalize()}{rng.choice(['ra', 'ke'])}! {line()}"
+    clean = [(i, line(), "s") for i in range(400)]
+    toxic = [(1000 + i, insult(i), "s") for i in range(120)]
+    copied = f"Wumbrelo fentikar hoslavin. {line()}"
+    copies = [(2000 + i, copied, "s") for i in range(60)]
+    fine = [(3000 + i, f"{line()} A wumbrelo and a fentikar. {line()}", "s") for i in range(20)]
+    docs = frame(spark, clean + toxic + copies + fine + [toxic[0]] * 5 + [(None, "no id", "s"), (1001, None, "s")])
+    rows = [(i, int(i >= 1000), "k", 0) for i, *_ in clean + toxic[:60] + copies] + [(None, 1, "k", 0), (5, None, "k", 0), (1000, 0, "k", 0), (99999, 1, "k", 0)]
+    labels = spark.createDataFrame(rows + rows[:3], "doc_id long, toxic int, text string, did int")
+    found = quality.learned_stems(docs, labels)
+    assert found and all(any(s.startswith(f) for s in stems) for f in found)
+    got = {r["doc_id"]: r["keep"] for r in quality.quality_scores(docs, labels).where("doc_id <> 1001").collect()}
+    assert not any(got[i] for i, *_ in toxic if i != 1001)
+    assert np.mean([got[i] for i, *_ in clean + fine]) > 0.98
+    plain = {r["doc_id"]: r["keep"] for r in quality.quality_scores(docs).collect()}
+    assert np.mean([plain[i] for i, *_ in toxic if i != 1001]) > 0.9
+    for none in (labels.limit(0), labels.where("toxic = 0"), labels.where("doc_id is null")):
+        assert quality.learned_stems(docs, none) == ()
+    assert quality.quality_scores(empty, labels).count() == 0
+    assert quality.labelled_sample(docs, labels, 50).count() <= 50
+
+
 def edit_distance(item, words):
     row = [0] * (len(words) + 1)
     for i, a in enumerate(item, 1):
